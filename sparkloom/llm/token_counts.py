@@ -73,30 +73,30 @@ class Library:
 def spliced_count(text: str, starts_of, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
     """The number of tokens of ``text``, from chunks spliced at stable common boundaries."""
     at, total, size = 0, 0, len(text)
-    left, left_end = starts_of(text[: at + chunk]), min(size, chunk)
+    origin, left, left_end = 0, starts_of(text[:chunk]), min(size, chunk)
     while left_end < size:
         width = overlap
         while True:
             begin = max(at, left_end - width)
             right_end = min(size, begin + chunk + width)
-            right = starts_of(text[begin:right_end])
-            ours, theirs = {at + s for s in left}, {begin + s for s in right}
+            right = [begin + s for s in starts_of(text[begin:right_end])]
+            both = set(left).intersection(right)
             # The last place may be changed by where the left chunk was cut; earlier ones can't.
-            stable = [m.start() for m in BORDER.finditer(text, begin + 1, left_end - 1) if m.start() in ours and m.start() in theirs]
+            stable = [m.start() for m in BORDER.finditer(text, begin + 1, left_end - 1) if m.start() in both]
             if stable:
                 break
             if begin == at:  # nothing to splice at in the whole chunk: it grows
-                left_end = min(size, left_end + chunk + width)
-                left = starts_of(text[at:left_end])
-                if left_end >= size:
+                left_end = min(size, left_end + chunk)
+                left = [origin + s for s in starts_of(text[origin:left_end]) if origin + s >= at]
+                if left_end == size:
                     return total + len(left)
                 width = overlap
-                continue
-            width *= 2
+            else:
+                width *= 2
         border = stable[-1]
-        total += sum(at + s < border for s in left)
-        left = [begin + s - border for s in right if begin + s >= border]
-        at, left_end = border, right_end
+        total += sum(s < border for s in left)
+        origin, at, left_end = begin, border, right_end
+        left = [s for s in right if s >= border]
     return total + len(left)
 
 
