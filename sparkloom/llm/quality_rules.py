@@ -149,8 +149,9 @@ def learn_list(rows: list[tuple[tuple[float, ...], int]]) -> list[tuple[tuple[in
 
 def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE) -> list:
     sample = sample_of(labels, label, bound)  # within the bound, so it may be broadcast
-    rows = stats.join(F.broadcast(sample), "doc_id").where(~base_failed()).select("doc_id", "y", *NUMBERS).dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    # Rows are filtered here: a filter pushed down would copy the array expressions into it.
+    found = stats.join(F.broadcast(sample), "doc_id").select("doc_id", "y", base_failed().alias("failed"), *NUMBERS).collect()
+    rows = list({r["doc_id"]: r for r in sorted(found, key=lambda r: r) if not r["failed"]}.values())
     return learn_list([(tuple(float(r[n]) for n in NUMBERS), r["y"]) for r in rows])
 
 
