@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import pii, quality_rules, url_filter
+from . import language_id, pii, quality_rules, url_filter
 from .byte_bpe import round_trip
 from .common import table
 from .token_counts import count_tokens
@@ -22,6 +22,11 @@ def op3_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -30,6 +35,6 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_pii, op6_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_pii, op4_language_id, op6_url_filter, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
