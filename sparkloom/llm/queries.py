@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import language_id, pii, quality_rules, url_filter
+from . import jaccard_join, language_id, pii, quality_rules, url_filter
 from .byte_bpe import round_trip
 from .common import table
 from .token_counts import count_tokens
@@ -31,10 +31,14 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_pii, op4_language_id, op6_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_pii, op4_language_id, op6_url_filter, op8_ngram_jaccard_join, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
