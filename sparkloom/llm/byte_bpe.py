@@ -246,12 +246,15 @@ def _with_codec(spark, path: str, pattern: str, row, schema: str):
     return lambda df: df.mapInArrow(run, schema)
 
 
+def _lists(coded: list[bytes]) -> pa.Array:
+    return pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in coded], pa.list_(pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the token ids of each text."""
 
     def row(codec, ids, coded):
-        lists = pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in coded], pa.list_(pa.int32()))
-        return {"doc_id": pa.array(ids, pa.int64()), "ids": lists}
+        return {"doc_id": pa.array(ids, pa.int64()), "ids": _lists(coded)}
 
     return _with_codec(docs.sparkSession, path, pattern, row, "doc_id long, ids array<int>")(keyed_text(docs))
 
@@ -269,17 +272,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode and decode every text: n_tokens and digests of the ids and of the decoded bytes."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encode and decode every text: n_tokens and digests of the ids and of the decoded bytes; the ids if wanted."""
 
     def row(codec, ids, coded):
         digest = lambda data: hashlib.sha256(data).hexdigest()
-        return {
+        out = {
             "doc_id": pa.array(ids, pa.int64()),
             "n_tokens": pa.array([len(c) // 4 for c in coded], pa.int64()),
             "ids_sha256": pa.array([digest(c) for c in coded], pa.string()),
             "decoded_sha256": pa.array(list(map(digest, codec.decode(coded))), pa.string()),
         }
+        return out | ({"ids": _lists(coded)} if with_ids else {})
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return _with_codec(docs.sparkSession, path, pattern, row, schema)(keyed_text(docs))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import jaccard_join, language_id, pii, quality_rules, url_filter
+import corpus_pipeline
+
+from . import decontamination, jaccard_join, language_id, pii, quality_rules, url_filter
 from .byte_bpe import round_trip
 from .common import table
 from .token_counts import count_tokens
@@ -27,6 +29,10 @@ def op4_language_id(spark, sf_dir):
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -39,6 +45,10 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_pii, op4_language_id, op6_url_filter, op8_ngram_jaccard_join, op10_quality_rules)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_pii, op4_language_id, op5_decontamination, op6_url_filter, op8_ngram_jaccard_join, op10_quality_rules, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
