@@ -64,3 +64,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, parts: int, part: int) -> DataFrame:
+    """doc_id, text and y of about ``bound`` labelled documents at most, none of them held out.
+
+    Of a doc_id labelled twice the highest label counts. The sample is chosen by a hash of
+    doc_id, so it is the same every time; being bounded, its ids are broadcast.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), parts, part))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    share = min(1.0, bound / max(known.count(), 1))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return keyed_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")

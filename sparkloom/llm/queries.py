@@ -6,7 +6,7 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from . import decontamination, jaccard_join, language_id, pii, quality_rules, url_filter
+from . import decontamination, jaccard_join, language_id, pii, quality_gam, quality_rules, toxicity, url_filter
 from .byte_bpe import round_trip
 from .common import table
 from .token_counts import count_tokens
@@ -37,10 +37,18 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_gam(spark, sf_dir):
+    return quality_gam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +57,9 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_pii, op4_language_id, op5_decontamination, op6_url_filter, op8_ngram_jaccard_join, op10_quality_rules, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_token_counts, op3_pii, op4_language_id, op5_decontamination, op6_url_filter, op7_toxicity, op8_ngram_jaccard_join, op9_quality_gam, op10_quality_rules, pipeline)
+}
 
 ORACLE_SQL: dict[str, str] = {}
