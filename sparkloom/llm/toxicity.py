@@ -148,6 +148,28 @@ def _terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
+def _scattered(sample: DataFrame, terms: set[str]) -> set[str]:
+    """The terms that toxic documents have between many different neighbours.
+
+    What copies of one document share stands between the same neighbours in each of them.
+    """
+    held = sample.sparkSession.sparkContext.broadcast(terms)
+
+    def places(batches):
+        wanted, seen = held.value, set()
+        for _, texts in text_slices(batches, SLICE_CHARS):
+            for t in texts:
+                tokens = ["", *TOKEN.findall(t.lower()), ""]
+                for k in range(1, len(tokens) - 1):
+                    w = tokens[k]
+                    for term in {w, *(w[:n] + "*" for n in STEMS)} & wanted:
+                        seen.add((term, f"{tokens[k - 1]} {tokens[k + 1]}"))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string())], ["term", "place"])
+
+    found = sample.where("y = 1").select("doc_id", "text").mapInArrow(places, "term string, place string")
+    return {r["term"] for r in found.groupBy("term").agg(F.countDistinct("place").alias("n")).where(F.col("n") >= 2 * SUPPORT).collect()}
+
+
 def lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """(words, stems, words one edit from an entry that clean documents use)."""
 
@@ -170,6 +192,7 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     # Toxic documents are scaled to be as many as the others.
     scale = sizes.get(0, 1) / max(sizes.get(1, 0), 1)
     good = {t for t, n in toxic.items() if n * scale >= PRECISION * (n * scale + other.get(t, 0) + 1) and n >= 8 * other.get(t, 0)}
+    good &= _scattered(sample, good)
     words = sorted(t for t in good if not t.endswith("*"))
     # A stem must hold more documents than any one word of it, else the word says it all.
     most: dict[str, int] = {}
