@@ -1,4 +1,5 @@
 """All queries of the library and, where SQL can express them, their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import base, sessions, text  # noqa: F401
+
+QUERIES, ORACLE_SQL = base.QUERIES, base.ORACLE_SQL
