@@ -8,10 +8,11 @@ in some segment. An exact segment gives one signature; the other kind one more f
 of a shingle in it. Which split of e and d a band gets is decided by its cost on a bounded
 sample (signatures written, pairs that collide); the choice affects time alone.
 
-Candidates are verified exactly on the texts, without making all pairs of a group: each set is
-first held against the least set of the bucket it shares most signatures with, then against the
-other buckets' least sets where the components found so far differ, and only then are the pairs
-left in a bucket made, those whose components still differ. No link between components is lost.
+Candidates are verified exactly, without making all pairs of a group: each set is first held
+against the least set of the bucket it shares most signatures with, then against the other
+buckets' least sets where the components found so far differ; what shares a bucket and still has
+different components is joined by its differences from a common centre (``_by_difference``). No
+link between components is lost.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing;
 fewer words than a shingle form one; rows of one doc_id are one document whose texts may each
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keyed_text, settle
@@ -214,6 +215,71 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def _centres(first: DataFrame) -> DataFrame:
+    """head, centre: the set that a bucket's head shares most with, and so on, four steps on."""
+    up = first.select(F.col("a").alias("head"), F.col("b").alias("centre"))
+    for _ in range(2):  # a head is greater than its own, so there is no circle
+        over = up.select(F.col("head").alias("centre"), F.col("centre").alias("next"))
+        up = settle(up.join(over, "centre", "left").select("head", F.coalesce("next", "centre").alias("centre")), "jj-up")
+    return up
+
+
+def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links (a, b) between the roots of members (c, doc, root) that share a centre c.
+
+    With D(x) = x minus c and c minus x, two members differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+    shingles. Where their D are small enough to link without a common part, both are linked with
+    the member whose D is smallest for its size; so those are tied to it. All other links need a
+    common part of a known size: D lists its elements from the rarest of the group, and such a
+    pair meets in the front parts of its lists. Groups of copies thus cost what their differences
+    cost, not the square of their size.
+    """
+    near, far = 100 + percent, 100 - percent
+    ids = settle(members.select("doc").union(members.select("c")).distinct().withColumnRenamed("doc", "doc_id"), "jj-ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    own, other = texts.select(F.col("doc_id").alias("doc"), "text"), texts.select(F.col("doc_id").alias("c"), F.col("text").alias("middle"))
+
+    def run(batches):
+        shingle, last, middle = Shingler(words), None, None
+        for batch in batches:
+            out = []
+            for c, doc, root, text, centre in _pairs_of([batch]):
+                if centre != last:
+                    last, middle = centre, shingle(centre)
+                items = shingle(text)
+                out.append((c, doc, root, len(items), np.setxor1d(items, middle, assume_unique=True).view(np.int64)))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:4]], pa.array(columns[4], pa.list_(pa.int64()))], ["c", "doc", "root", "n", "d"])
+
+    differ = members.join(own, "doc").join(other, "c").select("c", "doc", "root", "text", "middle")
+    differ = settle(differ.mapInArrow(run, "c long, doc long, root long, n long, d array<long>"), "jj-differ")
+    excess = near * F.size("d").cast("long") - far * F.col("n")  # two of them: at most 0 where any two such sets link
+    parts = differ.select("c", "doc", "root", "n", "d", excess.alias("e"))
+
+    least = parts.groupBy("c").agg(F.min_by(F.struct("doc", "e", "root"), F.struct("e", "doc")).alias("x"))
+    tied = parts.join(least, "c").where((F.col("e") + F.col("x.e") <= 0) & (F.col("root") != F.col("x.root"))).select(F.col("doc").alias("a"), F.col("x.doc").alias("b"))
+
+    common = parts.select("c", F.explode("d").alias("item")).groupBy("c", "item").agg(F.count("*").alias("f")).where("f > 1")
+    items = parts.select("c", "doc", "root", "e", F.size("d").alias("k"), F.posexplode("d").alias("_", "item")).drop("_")
+    # Elements of one member alone come first of all; the shared ones are numbered after them.
+    rank = Window.partitionBy("c", "doc").orderBy("f", "item")
+    shared = items.join(common, ["c", "item"])
+    held = Window.partitionBy("c", "doc")
+    shared = settle(shared.select("c", "doc", "root", "e", "item", (F.col("k") - F.count("*").over(held) + F.row_number().over(rank)).alias("at"), "k"), "jj-items")
+    level = F.floor(F.col("e") / near)
+    need = lambda e: F.greatest(F.lit(1), F.ceil(e))
+    index = shared.where(F.col("at") <= F.col("k") - need(F.col("e") / near) + 1).select("c", "item", level.alias("level"), F.col("doc").alias("b"), F.col("root").alias("root_b"))
+    levels = parts.groupBy("c").agg(F.collect_set(level).alias("levels"))  # no more than a document has shingles
+    probe = shared.join(levels, "c").select("*", level.alias("own"), F.explode("levels").alias("level")).where("level <= own")
+    probe = probe.where(F.col("at") <= F.col("k") - need((F.col("e") + near * F.col("level")) / (2 * near)) + 1).select("c", "item", "level", F.col("doc").alias("a"), "root")
+    pairs = probe.join(index, ["c", "item", "level"]).where("root != root_b").select("c", "a", "b").distinct()
+    left, right = (parts.select("c", F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("d").alias(f"d_{x}")) for x in "ab")
+    both = pairs.join(left, ["c", "a"]).join(right, ["c", "b"])
+    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    return settle(tied.unionByName(both.where(near * apart <= far * (F.col("n_a") + F.col("n_b"))).select("a", "b")), "jj-links")
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     keyed = keyed_text(docs)
@@ -234,12 +300,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     roots = settle(components(links), "jj-roots")
 
     # What shares a bucket and is still in different components.
-    tagged = buckets.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("root", "doc").alias("root"))
+    tagged = buckets.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "head", "doc", F.coalesce("root", "doc").alias("root"))
     mixed = tagged.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    left = settle(tagged.join(mixed, "sig", "left_semi").distinct(), "jj-left")
-    pairs = left.alias("x").join(left.alias("y"), "sig").where("x.doc < y.doc and x.root != y.root").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    tried = shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(_linked(pairs.join(tried, ["a", "b"], "left_anti"), keyed, words, percent))
+    centre = _centres(first)
+    left = tagged.join(mixed, "sig", "left_semi").join(centre, "head", "left").select(F.coalesce("centre", "head").alias("c"), "doc", "root").distinct()
+    links = links.unionByName(_by_difference(settle(left, "jj-left"), keyed, words, percent))
 
     roots = components(links).withColumnRenamed("node", "rep")
     least = signed.where("rep is not null and n_shingles > 0").groupBy("rep").agg(F.min("doc_id").alias("low"))
