@@ -68,7 +68,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """kind, host, score: PageRank from seeds (kind, host, seed) along edges (kind, src, dst, links)."""
+    """kind, host, score: PageRank from seeds (kind, host, seed) along edges (kind, src, dst, links).
+
+    Scores are in units of the seeds, not of a total of one: a host's score is its seed and, for
+    each path that leads to it, the path's share of the seed where it begins, damped by its length.
+    """
     out = edges.groupBy("kind", "src").agg(F.sum("links").alias("total"))
     weighted = settle(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("total")).alias("w")), "url-edges")
     seeds = settle(seeds, "url-seeds")
@@ -77,7 +81,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
         return rank
     for k in range(1, rounds + 1):
         sent = weighted.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("w") * F.col("score"))).alias("score"))
-        home = seeds.select("kind", "host", ((1 - DAMPING) * F.col("seed")).alias("score"))
+        home = seeds.select("kind", "host", F.col("seed").alias("score"))
         rank = sent.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if k % CUT_EVERY == 0 or k == rounds:
             rank = settle(rank, "url-rank")
