@@ -50,7 +50,7 @@ def tumbling_events(t):
     return ops.windowed(t.events, "1 hour").select("event_type", F.unix_timestamp(F.col("start").cast("timestamp")).alias("start"), "n", "total")
 
 
-@query("""SELECT event_type, start, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT event_type, value, CAST(epoch(ts) AS BIGINT) // 1800 * 1800 - 1800 * k AS start FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1, 2""")
+@query("""SELECT event_type, start, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT event_type, value, CAST(floor(epoch(ts)) AS BIGINT) // 1800 * 1800 - 1800 * k AS start FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1, 2""")
 def sliding_events(t):
     return ops.windowed(t.events, "1 hour", "30 minutes").select("event_type", F.unix_timestamp(F.col("start").cast("timestamp")).alias("start"), "n", "total")
 
