@@ -213,17 +213,17 @@ def strip_think(t):
 
 
 def _search(key, sql_condition, condition):
-    query(f"SELECT id, session_id FROM v_messages WHERE {sql_condition}", key)(lambda t: t.v_messages.where(condition).select("id", "session_id"))
+    query(f"SELECT id, session_id FROM v_messages WHERE {sql_condition}", key)(lambda t: t.v_messages.where(condition(F.col("content"))).select("id", "session_id"))
 
 
 def _word(w):
     return rf"(?i)(?:^|\W){w}(?:\W|$)"
 
 
-_search("fts_and", "regexp_matches(content, '(?i)(?:^|\\W)the(?:\\W|$)') AND regexp_matches(content, '(?i)(?:^|\\W)it(?:\\W|$)')", F.col("content").rlike(_word("the")) & F.col("content").rlike(_word("it")))
-_search("fts_phrase", "regexp_matches(content, '(?i)\\bof\\s+the\\b')", F.col("content").rlike(r"(?i)\bof\s+the\b"))
-_search("fts_or_not", "(regexp_matches(content, '(?i)(?:^|\\W)the(?:\\W|$)') OR regexp_matches(content, '(?i)(?:^|\\W)la(?:\\W|$)')) AND NOT regexp_matches(content, '(?i)(?:^|\\W)of(?:\\W|$)')", (F.col("content").rlike(_word("the")) | F.col("content").rlike(_word("la"))) & ~F.col("content").rlike(_word("of")))
-_search("fts_prefix", "regexp_matches(content, '(?i)\\bthan\\w*')", F.col("content").rlike(r"(?i)\bthan\w*"))
+_search("fts_and", "regexp_matches(content, '(?i)(?:^|\\W)the(?:\\W|$)') AND regexp_matches(content, '(?i)(?:^|\\W)it(?:\\W|$)')", lambda c: c.rlike(_word("the")) & c.rlike(_word("it")))
+_search("fts_phrase", "regexp_matches(content, '(?i)\\bof\\s+the\\b')", lambda c: c.rlike(r"(?i)\bof\s+the\b"))
+_search("fts_or_not", "(regexp_matches(content, '(?i)(?:^|\\W)the(?:\\W|$)') OR regexp_matches(content, '(?i)(?:^|\\W)la(?:\\W|$)')) AND NOT regexp_matches(content, '(?i)(?:^|\\W)of(?:\\W|$)')", lambda c: (c.rlike(_word("the")) | c.rlike(_word("la"))) & ~c.rlike(_word("of")))
+_search("fts_prefix", "regexp_matches(content, '(?i)\\bthan\\w*')", lambda c: c.rlike(r"(?i)\bthan\w*"))
 
 
 @query("""SELECT id, regexp_replace(content, '(?i)\\b(the)\\b', '>>>\\1<<<', 'g') AS snippet, lag(substring(content, 1, 200)) OVER w AS before, lead(substring(content, 1, 200)) OVER w AS after
