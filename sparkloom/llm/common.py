@@ -30,11 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Shuffle files of a finished write are of no more use; they go at once, not with the driver's garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
