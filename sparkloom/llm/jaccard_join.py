@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_text, settle
@@ -248,7 +248,8 @@ def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: in
                 if centre != last:
                     last, middle = centre, shingle(centre)
                 items = shingle(text)
-                out.append((c, doc, root, len(items), np.setxor1d(items, middle, assume_unique=True).view(np.int64)))
+                beyond, lacking = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((items, middle), (middle, items)))
+                out.append((c, doc, root, len(items), np.concatenate([beyond, lacking]).view(np.int64)))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:4]], pa.array(columns[4], pa.list_(pa.int64()))], ["c", "doc", "root", "n", "d"])
 
@@ -260,17 +261,17 @@ def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: in
     least = parts.groupBy("c").agg(F.min_by(F.struct("doc", "e", "root"), F.struct("e", "doc")).alias("x"))
     tied = parts.join(least, "c").where((F.col("e") + F.col("x.e") <= 0) & (F.col("root") != F.col("x.root"))).select(F.col("doc").alias("a"), F.col("x.doc").alias("b"))
 
-    common = parts.select("c", F.explode("d").alias("item")).groupBy("c", "item").agg(F.count("*").alias("f")).where("f > 1")
-    items = parts.select("c", "doc", "root", "e", F.size("d").alias("k"), F.posexplode("d").alias("_", "item")).drop("_")
-    # Elements of one member alone come first of all; the shared ones are numbered after them.
-    rank = Window.partitionBy("c", "doc").orderBy("f", "item")
-    shared = items.join(common, ["c", "item"])
-    held = Window.partitionBy("c", "doc")
-    shared = settle(shared.select("c", "doc", "root", "e", "item", (F.col("k") - F.count("*").over(held) + F.row_number().over(rank)).alias("at"), "k"), "jj-items")
     level = F.floor(F.col("e") / near)
     need = lambda e: F.greatest(F.lit(1), F.ceil(e))
+    levels = parts.where(F.size("d") > 0).groupBy("c").agg(F.collect_set(level).alias("levels"))  # no more than a document has shingles
+    levels = settle(levels, "jj-levels")
+    # No partner needs less in common than one of the lowest level: what lies behind is never met.
+    front = (F.col("k") - need((F.col("e") + near * F.array_min("levels")) / (2 * near)) + 1).cast("int")
+    items = parts.withColumn("k", F.size("d")).join(levels, "c").where(front > 0)
+    items = items.select("c", "doc", "root", "e", "k", F.posexplode(F.slice("d", F.lit(1), front)).alias("at", "item")).withColumn("at", F.col("at") + 1)
+    common = items.groupBy("c", "item").agg(F.count("*").alias("f")).where("f > 1").select("c", "item")
+    shared = settle(items.join(common, ["c", "item"]), "jj-items")
     index = shared.where(F.col("at") <= F.col("k") - need(F.col("e") / near) + 1).select("c", "item", level.alias("level"), F.col("doc").alias("b"), F.col("root").alias("root_b"))
-    levels = parts.groupBy("c").agg(F.collect_set(level).alias("levels"))  # no more than a document has shingles
     probe = shared.join(levels, "c").select("*", level.alias("own"), F.explode("levels").alias("level")).where("level <= own")
     probe = probe.where(F.col("at") <= F.col("k") - need((F.col("e") + near * F.col("level")) / (2 * near)) + 1).select("c", "item", "level", F.col("doc").alias("a"), "root")
     pairs = probe.join(index, ["c", "item", "level"]).where("root != root_b").select("c", "a", "b").distinct()
