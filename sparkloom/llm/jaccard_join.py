@@ -144,7 +144,7 @@ def _allocation(keyed: DataFrame, words: int, percent: int) -> dict[int, float]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), pa.array(np.full(n, band, np.int32)), pa.array(sigs)], ["choice", "band", "sig"])
 
     counts = sample.mapInArrow(run, "choice double, band int, sig long").groupBy("choice", "band", "sig").agg(F.count("*").alias("n"))
-    cost = counts.groupBy("band", "choice").agg((F.sum("n") / share + PAIR_COST * F.sum(F.col("n") * (F.col("n") - 1) / 2) / (share * share)).alias("cost"))
+    cost = counts.groupBy("band", "choice").agg((F.sum("n") + PAIR_COST * F.sum(F.col("n") - 1)).alias("cost"))  # a bucket is held against its head
     best: dict[int, tuple[float, float]] = {}
     for row in cost.collect():  # a few rows for each band
         best[row["band"]] = min(best.get(row["band"], (float("inf"), 0.0)), (row["cost"], row["choice"]))
