@@ -35,8 +35,8 @@ VIEWS = {
           (conv_id * 7 + turn) % 5 = 0 AS failed,
           CASE WHEN role = 'assistant' AND conv_id % 3 <> 0 THEN concat('<think>plan ', CAST(turn AS STRING), '</think>', text) ELSE text END AS marked
         FROM conversations""",
-    "v_left": "SELECT p_partkey AS row_id, concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' Inc.' WHEN 1 THEN ', LLC' WHEN 2 THEN ' Holdings' ELSE '' END) AS name FROM part WHERE p_partkey <= 200",
-    "v_right": "SELECT p_partkey AS row_id, concat(CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' works') WHEN p_partkey % 5 = 1 THEN upper(p_name) ELSE p_name END, CASE p_partkey % 3 WHEN 0 THEN ' CORP' ELSE ' Co' END) AS name FROM part WHERE p_partkey > 200 AND p_partkey <= 400",
+    "v_left": "SELECT p_partkey AS row_id, concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' Inc.' WHEN 1 THEN ', LLC' WHEN 2 THEN ' Holdings' ELSE '' END) AS name FROM part WHERE p_partkey % 8 < 4",
+    "v_right": "SELECT p_partkey AS row_id, concat(CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' works') WHEN p_partkey % 5 = 1 THEN upper(p_name) ELSE p_name END, CASE p_partkey % 3 WHEN 0 THEN ' CORP' ELSE ' Co' END) AS name FROM part WHERE p_partkey % 8 >= 4",
     "v_tasks": """
         SELECT o_orderkey AS id, concat('user', CAST(o_custkey % 7 AS STRING)) AS assignee,
           CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'ready' ELSE 'running' END AS status, o_orderpriority AS priority,
