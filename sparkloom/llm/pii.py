@@ -2,14 +2,19 @@
 
 Base spans (e-mail, IP, card, phone) are the protected entities. Corpus co-occurrence says how
 strongly a term reveals one: with N documents, c(t) of them holding term t, c(e) naming entity e
-and c(t, e) naming e with t close by,
+and c(t, e) doing both,
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log(N c(t, e) / (c(t) c(e))) / log(N / c(e)),
 
-which is 1 where t is found beside e alone. Terms seen beside an entity in ``min_support``
-documents or more whose disclosure reaches ``threshold`` become spans of kind ``term``, in the
-documents that name the entity and close to it; c(t) is counted over the whole corpus.
-``sanitise`` removes the base spans and generalises the terms.
+which is 1 where t is found in documents that name e alone; an entity that all documents name
+has no information content, and nothing discloses it. Terms found in ``min_support`` documents
+of an entity or more whose disclosure reaches ``threshold`` become spans of kind ``term``
+wherever they stand, in every document of the corpus. ``sanitise`` removes the base spans and
+generalises the terms.
+
+All counts are of whole documents; a repeated row counts each time. Pairs are made only of
+entities and terms that exact bounds leave: c(t, e) is at most c(t) and c(e), so both must reach
+``min_support``, and the disclosure with the lesser of them for c(t, e) must reach ``threshold``.
 
 The patterns are those of the contract with possessive quantifiers and a look-behind at the
 start of a run, which match the same spans in linear time and without recursion.
@@ -37,8 +42,8 @@ PATTERNS = {
 }
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][ -]?){13}", "phone": "+"}
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-#: Context on each side of an entity, in characters; letters of the shortest term.
-WINDOW, TERM_LETTERS = 48, 4
+#: Letters of the shortest term.
+TERM_LETTERS = 4
 MIN_SUPPORT, THRESHOLD = 3, 0.8
 #: Spans of at most so many bytes are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 8_000_000
@@ -85,7 +90,7 @@ def _cut(text: Column, pattern: str, guard: Column) -> tuple[Column, Column]:
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base``: kind, start, end, value and the text on both sides of each span."""
+    """``docs`` with ``_base``: kind, start, end and value of each span."""
     out = docs
     for kind, pattern in PATTERNS.items():
         guard = F.col(text).contains(GUARDS[kind]) if kind in ("email", "phone") else F.col(text).rlike(GUARDS[kind])
@@ -103,71 +108,77 @@ def _of_kind(k: int, kind: str) -> Column:
     p, f, s = F.col(f"_{kind}_p"), F.col(f"_{kind}_f"), F.col(f"_{kind}_s")
 
     def one(value, i):
-        before, after = F.get(p, i), F.get(p, i + 1)
-        start = F.get(s, i) + F.length(before)
-        return F.struct(
-            F.lit(k).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
-            F.right(before, F.lit(WINDOW + 1)).alias("before"), F.left(after, F.lit(WINDOW + 1)).alias("after"),
-        )
+        start = F.get(s, i) + F.length(F.get(p, i))
+        return F.struct(F.lit(k).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
     return F.filter(F.transform(f, one), lambda x: _valid(kind, x["value"]))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """A row for each term beside an entity: doc_id, hash, entity, term, start, end."""
-    one = found.select("doc_id", "_hash", F.explode("_base").alias("b"))
-    entity = F.concat_ws(":", F.col("b.kind"), F.when(F.col("b.kind") == 0, F.lower("b.value")).otherwise(_digits(F.col("b.value"))))
-    before = F.col("b.before")
-    # A word that the window cuts is left out, and so is what stands on another line.
-    left = F.regexp_extract(F.when(F.length(before) > WINDOW, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before), r"[^\n]*$", 0)
-    after = F.col("b.after")
-    right = F.regexp_extract(F.when(F.length(after) > WINDOW, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after), r"^[^\n]*", 0)
-    sides = F.array(F.struct(left.alias("text"), (F.col("b.start") - F.length(left)).alias("at")), F.struct(right.alias("text"), F.col("b.end").alias("at")))
-    side = one.select("doc_id", "_hash", entity.alias("entity"), F.explode(sides).alias("c")).select("doc_id", "_hash", "entity", F.col("c.text").alias("ctx"), F.col("c.at").alias("at"))
-    side = side.withColumns({"f": F.regexp_extract_all("ctx", F.lit(r"\p{L}+"), F.lit(0)), "p": F.split("ctx", r"\p{L}+", -1)}).where(F.size("f") > 0)
-    side = side.withColumn("s", prefix_sums(F.zip_with(F.slice("p", F.lit(1), F.size("f")), "f", lambda a, b: (F.length(a) + F.length(b)).cast("long"))))
-    words = F.transform("f", lambda w, i: F.struct(F.lower(w).alias("term"), (F.col("at") + F.get("s", i) + F.length(F.get("p", i))).alias("start"), F.length(w).alias("n")))
-    return side.select("doc_id", "_hash", "entity", F.explode(words).alias("w")).where(F.col("w.n") >= TERM_LETTERS).select("doc_id", "_hash", "entity", "w.term", "w.start", (F.col("w.start") + F.col("w.n")).alias("end"))
-
-
-def _disclosure(n_docs: int, c_t: Column) -> Column:
+def _entities(base: Column) -> Column:
+    """The distinct entities of a document."""
+    digits = lambda x: F.when(x["kind"] == 0, F.lower(x["value"])).otherwise(_digits(x["value"]))
+    return F.array_distinct(F.transform(base, lambda x: F.concat_ws(":", x["kind"], digits(x))))
+
+
+def _words(text: str) -> Column:
+    """The distinct terms of a document."""
+    long = F.regexp_extract_all(text, F.lit(rf"\p{{L}}{{{TERM_LETTERS},}}"), F.lit(0))
+    return F.array_distinct(F.transform(long, F.lower))
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """A row for each long word of each document: doc_id, hash, term, start, end."""
+    word = rf"\p{{L}}{{{TERM_LETTERS},}}"
+    rows = docs.select("doc_id", "_hash", F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("f"), F.split("text", word, -1).alias("p")).where(F.size("f") > 0)
+    rows = rows.withColumn("steps", F.zip_with(F.slice("p", F.lit(1), F.size("f")), "f", lambda a, b: (F.length(a) + F.length(b)).cast("long")))
+    rows = rows.withColumn("before", prefix_sums(F.col("steps")))
+    # A word ends where its own step does.
+    ends = F.zip_with("before", "steps", lambda a, b: a + b)
+    words = rows.select("doc_id", "_hash", F.explode(F.zip_with("f", ends, lambda w, end: F.struct(F.lower(w).alias("term"), (end - F.length(w)).alias("start"), end.alias("end")))).alias("w"))
+    return words.select("doc_id", "_hash", "w.term", "w.start", "w.end")
+
+
+def _disclosure(n_docs: int, c_t: Column, c_e: Column, c_te: Column) -> Column:
     n = F.lit(float(max(n_docs, 1)))
-    ic = F.log(n / F.col("c_e"))
-    pmi = F.log(n * F.col("c_te") / (F.greatest(c_t, F.col("c_te")) * F.col("c_e")))
+    ic = F.log(n / c_e)
+    pmi = F.log(n * c_te / (c_t * c_e))
     return F.when(ic > 0, pmi / ic).otherwise(0.0)
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, n_docs: int, min_support: int, threshold: float) -> DataFrame:
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` broadcast where few, to be shuffled else."""
+    return F.broadcast(rows) if n * 64 <= BROADCAST_BYTES else rows
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, n_docs: int, min_support: int, threshold: float) -> DataFrame:
     """entity, term and disclosure of the pairs that exceed the threshold."""
-    near = contexts.select("doc_id", "_hash", "entity", "term").distinct()
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= min_support)
-    named = contexts.select("doc_id", "_hash", "entity").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
-    # A term is in no fewer documents than those that have it beside an entity: pairs that this
-    # bound already rules out, such as those of common words, needn't be counted over the corpus.
-    beside = near.select("doc_id", "_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("c_n"))
-    known = together.join(named, "entity").join(beside, "term")
-    pairs = settle(known.where(_disclosure(n_docs, F.col("c_n")) >= threshold).drop("c_n"), "pii-pairs")
-    terms = pairs.select("term").distinct()
+    c_t, c_e, c_te = F.col("c_t"), F.col("c_e"), F.col("c_te")
+    named = found.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("c_e"))
+    named = settle(named.where((c_e >= min_support) & (c_e < n_docs)), "pii-named")
+    n_named, most = named.agg(F.count("*"), F.max("c_e")).first()
+    # The bound grows with c(e): a term that the most frequent entity rules out is ruled out by all.
+    words = docs.select(F.explode(_words("text")).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
+    possible = _disclosure(n_docs, c_t, F.lit(most or 1), F.least(c_t, F.lit(most or 1))) >= threshold
+    terms = settle(words.where((c_t >= min_support) & possible & F.lit(n_named > 0)), "pii-candidates")
     n_terms = terms.count()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= TERM_LETTERS)
-    # Few candidate terms are broadcast to the words; many are met after words are counted.
-    if n_terms * 64 <= BROADCAST_BYTES:
-        counts = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t"))
-    else:
-        counts = words.groupBy("term").agg(F.count("*").alias("c_t")).join(terms, "term", "left_semi")
-    return pairs.join(counts, "term").select("entity", "term", _disclosure(n_docs, F.col("c_t")).alias("disclosure")).where(F.col("disclosure") >= threshold)
+    seen = found.where(F.size("_entities") > 0).select(F.explode("_words").alias("term"), "_entities").join(_small(terms, n_terms), "term")
+    pairs = seen.select("term", "c_t", F.explode("_entities").alias("entity")).join(_small(named, n_named), "entity")
+    pairs = pairs.where(_disclosure(n_docs, c_t, c_e, F.least(c_t, c_e)) >= threshold)
+    pairs = pairs.groupBy("entity", "term").agg(F.first("c_t").alias("c_t"), F.first("c_e").alias("c_e"), F.count("*").alias("c_te")).where(c_te >= min_support)
+    return pairs.select("entity", "term", _disclosure(n_docs, c_t, c_e, c_te).alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
 def _spans(docs: DataFrame, min_support: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rows with _base, the term spans of a row by doc_id and _hash)."""
     keyed = keyed_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("_hash", F.xxhash64("text"))
-    found = settle(base_spans(keyed).drop("text"), "pii-base")
-    contexts = _contexts(found)
-    flagged = disclosing_terms(keyed, contexts, found.count(), min_support, threshold)
-    terms = contexts.join(flagged, ["entity", "term"]).select("doc_id", "_hash", "start", "end").distinct()
-    terms = terms.groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("_terms"))
-    return found, settle(terms, "pii-terms")
+    named = F.size("_base") > 0
+    found = base_spans(keyed).withColumns({"_entities": _entities(F.col("_base")), "_words": F.when(named, _words("text")).otherwise(F.array().cast("array<string>"))})
+    found = settle(found.drop("text"), "pii-base")
+    flagged = settle(disclosing_terms(keyed, found, found.count(), min_support, threshold).select("term").distinct(), "pii-flagged")
+    terms = _places(keyed).join(_small(flagged, flagged.count()), "term", "left_semi")
+    terms = terms.groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("_terms"))
+    return found.drop("_entities", "_words"), settle(terms, "pii-terms")
 
 
 def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
