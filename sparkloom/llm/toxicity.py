@@ -1,11 +1,12 @@
 """Toxicity scores from a learned lexicon, matched by Levenshtein automata.
 
 Lexicon entries, words and stems, are what a bounded sample of labelled documents has in toxic
-documents almost alone. They form a trie; its product with the Levenshtein automaton of one edit
-is walked state by state and kept as a table, so a word is matched, misspelled or not, in one
-look-up per character, and most words leave the automaton after a few. Each match is seen in
-its context window: between quotation marks close by it counts as quotation, else as abuse. A
-logistic model of these counts, fitted on the sample, gives the score.
+documents almost alone. Words under a stem stay, since only words are matched misspelled. The
+entries form a trie; its product with the Levenshtein automaton of one edit is walked state by
+state and kept as a table, so a word is matched, misspelled or not, in one look-up per
+character, and most words leave the automaton after a few. Each match is seen in its context
+window: between quotation marks close by it counts as quotation, else as abuse. A logistic
+model of these counts, fitted on the sample, gives the score.
 
 Defined cases: a null or empty text has no match and gets the score of a text without one; a
 null doc_id is passed through; of a label given twice the highest counts; without labels every
@@ -29,7 +30,7 @@ SAMPLE, SLICE_CHARS = 20_000, 2_000_000
 #: A lexicon entry is in so many toxic documents at least, and so much of its documents are toxic.
 SUPPORT, PRECISION = 6, 0.8
 #: Lengths of stems; letters of a word whose misspellings are looked for.
-STEMS, FUZZY_LETTERS = range(4, 8), 5
+STEMS, FUZZY_LETTERS = range(4, 8), 4
 CONTEXT, THRESHOLD = 12, 0.3
 KEPT_WORDS = 500_000
 MARKS = "\"“”„«»"
@@ -204,7 +205,6 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     for t in sorted((t for t in good if t.endswith("*") and toxic[t] > 1.5 * most.get(t, 0)), key=lambda t: (len(t), t)):
         if not any(t[:-1].startswith(s) for s in stems):
             stems.append(t[:-1])
-    words = [w for w in words if not any(w.startswith(s) for s in stems)]
     held = sample.sparkSession.sparkContext.broadcast((words, stems))
 
     def near(batches):

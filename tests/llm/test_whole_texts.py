@@ -7,7 +7,7 @@ from collections import Counter
 
 import brute
 
-from sparkloom.llm import pii
+from sparkloom.llm import pii, toxicity
 
 
 def frame(spark, rows, schema="doc_id long, text string"):
@@ -46,3 +46,15 @@ def test_terms_are_found_far_from_an_entity_and_in_every_document(spark):
     assert len(want[0]) == 2 and len(want[8]) == 1 and not want[20] and len(want[70]) == 2
     clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
     assert not any(re.search("zanzibar|écrin", t.lower()) for t in clean.values()) and clean[20] == rows[20][1]
+
+
+def test_misspelled_words_match_under_a_stem_and_with_four_letters(spark):
+    rnd = random.Random(10)
+    short = lambda: "".join(rnd.choice("abcdefghij") for _ in range(3))
+    rows = [(k, f"{short()} {short()} {bad} {short()} {short()}", 1) for k, bad in enumerate(["idiot", "idiots", "idiotic", "scum"] * 15)]
+    rows += [(100 + k, " ".join(short() for _ in range(6)), 0) for k in range(60)]
+    words, stems, clean = toxicity.lexicon(frame(spark, rows, "doc_id long, text string, y int"))
+    assert stems == ["idio"] and words == ["idiot", "idiotic", "idiots", "scum"]
+    matcher = toxicity.Matcher(words, stems, clean)
+    kinds = [row[1:4] for row in matcher.counts(["iidiot", "idxot", "idiocy", "scuum", "scxm", "idiot"])]
+    assert kinds == [[0, 0, 1], [0, 0, 1], [0, 1, 0], [0, 0, 1], [0, 0, 1], [1, 0, 0]]
