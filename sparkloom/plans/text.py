@@ -184,6 +184,24 @@ def hrr_similarity(t):
     return a.join(F.broadcast(b), F.lit(True)).select("a", "b", F.round(near, 5).alias("similarity"))
 
 
+#: Query vectors that are compared with a row at a time.
+QUERY_BLOCK = 64
+
+
+@query()
+def hrr_similarity_all(t):
+    """Every hundredth vector against all vectors; no SQL, as that of hrr_similarity is of another set.
+
+    The query set grows with the table, so it is not broadcast by hint: its blocks meet the rows in a plain product.
+    """
+    near = lambda u: F.aggregate(F.zip_with(u, "v", lambda x, y: F.cos(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size("v")
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / (100 * QUERY_BLOCK)).alias("block"), F.struct(F.col("vec_id").alias("a"), F.col("embedding").alias("u")).alias("q"))
+    blocks = asked.groupBy("block").agg(F.collect_list("q").alias("qs")).select("qs")
+    rows = t.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v")).crossJoin(blocks)
+    pairs = rows.select("b", F.explode(F.transform("qs", lambda q: F.struct(q["a"].alias("a"), F.round(near(q["u"]), 5).alias("similarity")))).alias("p"))
+    return pairs.select("p.a", "b", "p.similarity")
+
+
 @query("""SELECT x.vec_id, round(sum((x.v + y.v) - 6.283185307179586 * floor((x.v + y.v) / 6.283185307179586)), 4) AS phase_sum
 FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) x
 JOIN (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) y ON y.vec_id = x.vec_id + 1 AND x.i = y.i GROUP BY x.vec_id""")

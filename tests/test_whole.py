@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from sparkloom import registry
@@ -48,3 +49,10 @@ def test_entities_are_matched_over_all_parts(spark, sides):
     assert sorted((r.left_row, r.right_row, r.match_type) for r in found) == want
     for name, kind in (("er_exact", "exact"), ("er_fuzzy", "fuzzy"), ("er_token_overlap", "token_overlap")):
         assert sorted((r.left_row, r.right_row) for r in registry.QUERIES[name](spark, SF).collect()) == [w[:2] for w in want if w[2] == kind]
+
+
+def test_query_vectors_are_compared_with_all_vectors(spark):
+    vectors = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    want = {(a, b): np.mean(np.cos(u - v)) for a, u in vectors.items() if a % 100 == 0 for b, v in vectors.items()}
+    found = {(r.a, r.b): r.similarity for r in registry.QUERIES["hrr_similarity_all"](spark, SF).collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-5 for k in want)
