@@ -76,7 +76,7 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
-        part = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+        part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
         return value.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
     n = F.length(_digits(value))
     if kind == "card":

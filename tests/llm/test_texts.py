@@ -11,6 +11,7 @@ from sparkloom.llm import decontamination, language_id, pii, quality_gam, qualit
 SF = "/root/testdata/sf0.001"
 TRICKY = [
     None, "", " \n ", "a@b.c_d@e.f x..y@z-1.co.uk. @x a@ b@c", "1.2.3.4.5.6.7.8 999.1.1.1 001.02.3.4 1.2.3 256.0.0.1",
+    "10.0.0.1 192.168.0.1, 127.0.0.1; 0.0.0.0 000.1.2.3 00.00.00.00 1.2.3.0256 0255.0.0.0",
     "4111 1111 1111 1111 and 4111-1111-1111-1112, 378282246310005", "+1 (988) 555-2485, +44 20 7946 0958. +1 2 +12345678901234567",
     "é@ü.de naïve.é+x@mail.example.com 😀 +49 (0)30 123456", "a@" + "b." * 3000 + "c", "1" * 5000, "1." * 3000, "a" * 20000 + "@", "mail a@b.cd,a@b.cd;+123456789\n+1234\n56789",
 ]
