@@ -185,10 +185,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None:
     sample = labelled_sample(docs, labels, "quality", bound, 5, 0)
-    # The label goes along in the lowest bit of the id, which is no input of the features.
-    signed = sample.select((F.col("doc_id") * 2 + F.col("y")).alias("doc_id"), "text")
-    rows = sorted(tuple(r) for r in _measured(signed).collect())  # a bounded sample
-    return Model(np.array([r[1:] for r in rows]), np.array([r[0] % 2 for r in rows], float)) if rows else None
+    # The label goes along in the place of the id, which is no input of the features.
+    labelled = sample.select(F.col("y").cast("long").alias("doc_id"), "text")
+    rows = sorted(tuple(r) for r in _measured(labelled).collect())  # a bounded sample
+    return Model(np.array([r[1:] for r in rows]), np.array([r[0] for r in rows], float)) if rows else None
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

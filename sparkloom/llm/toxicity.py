@@ -253,10 +253,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(rows[:, k]) for k in range(6)]], ["doc_id", "words", "exact", "stem", "fuzzy", "quoted", "kinds"])
 
     measure = lambda rows: rows.mapInArrow(measured, "doc_id long, words double, exact double, stem double, fuzzy double, quoted double, kinds double")
-    # The label goes along in the sign of the id, which is no input of the counts.
-    signed = sample.select((F.col("doc_id") * 2 + F.col("y")).alias("doc_id"), "text")
-    rows = sorted(tuple(r) for r in measure(signed).collect())  # a bounded sample
-    weights = fit(np.array([r[1:] for r in rows]), np.array([r[0] % 2 for r in rows])) if rows else None
+    # The label goes along in the place of the id, which is no input of the counts.
+    labelled = sample.select(F.col("y").cast("long").alias("doc_id"), "text")
+    rows = sorted(tuple(r) for r in measure(labelled).collect())  # a bounded sample
+    weights = fit(np.array([r[1:] for r in rows]), np.array([r[0] for r in rows])) if rows else None
 
     def run(batches):
         for batch in measured(batches):
