@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
+    """The folder all executors share. A temporary one stands in only where all run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -32,6 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Shuffle files of a finished write are of no more use; they go at once, not with the driver's garbage.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an id table that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Parts that the rows of one key are dealt to where a key may be hot and the other side isn't broadcast.
+SALTS = 32
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
@@ -44,7 +50,30 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote and no plan reads any more."""
+    for df in settled:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a ``lookup`` of ``n`` rows by keys that may hold a large share of ``rows``.
+
+    A small lookup is broadcast; for a larger one the rows of a key are dealt to ``SALTS`` parts
+    by all their columns.
+    """
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(lookup), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def keyed_text(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, join_hot, settle
 
 
 def _mark(edges: DataFrame):
@@ -14,21 +14,24 @@ def _mark(edges: DataFrame):
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node it reaches) of every node of the edges (a, b); a null end has no edge."""
-    known = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a") + F.col("b")).alias("_")).where("_ is not null and a != b")
-    edges = settle(known.select("a", "b").distinct(), "cc")
+    known = edges.where("a is not null and b is not null and a != b")
+    edges = settle(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     mark = _mark(edges)
     while mark[0]:
         # Large star: what is greater than a node is tied to the least of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_hot(both, least, ["a"], 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its lesser neighbours are tied to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = settle(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "cc")
+        small = join_hot(large, low, ["a"], mark[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, edges = edges, settle(small.unionByName(low.withColumnRenamed("m", "b")).distinct(), "cc")
+        discard(last)
         new = _mark(edges)
         if new == mark:
             break
         mark = new
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("node"), "root"))
+    out = settle(roots.unionByName(roots.select("root").distinct().select(F.col("root").alias("node"), "root")), "cc-roots")
+    discard(edges)
+    return out

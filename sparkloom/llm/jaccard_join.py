@@ -1,23 +1,33 @@
 """N-gram Jaccard self-join by universe-partition pigeonhole; components of its links.
 
-A document's set holds its distinct word shingles. Sets are put in size bands so that linked
-ones are at most a band apart. For a band with sets of up to s shingles, linked sets differ in
-at most H = floor(2 s (1 - t) / (1 + t)) of them, so when shingles are hashed into segments of
-which e are compared exactly and d up to one difference, with e + 2 d > H, two linked sets agree
-in some segment. An exact segment gives one signature; the other kind one more for each deletion
-of a shingle in it. Which split of e and d a band gets is decided by its cost on a bounded
-sample (signatures written, pairs that collide); the choice affects time alone.
+A document's set holds its distinct word shingles. Copies are merged over the whole corpus by a
+128-bit digest of their sets, so one document signs for all of them. Sets are put in size bands
+so that linked ones are at most a band apart. For a band with sets of up to s shingles, linked
+sets differ in at most H = floor(2 s (1 - t) / (1 + t)) of them. Shingles are hashed into e
+segments that are compared exactly and d that may have one difference, with e + 2 d = H + k: what
+agrees counts k or more, an exact segment one and the other kind two. So two linked sets agree in
+a one-deletion segment, or in k exact ones, of which the highest in any order of segment contents
+isn't among the k - 1 lowest of either set: those need no signature. The order puts small
+segments first, so empty ones, which many sets share by chance, are left out. An exact segment
+gives one signature; the other kind one more for each deletion of a shingle in it. Which split of
+e and d a band gets is decided by its cost on a bounded sample (signatures written, pairs that
+collide); the choice affects time alone.
+
+Each task groups the signatures of its chunk of documents first and sends one row for each to the
+others, so a signature that a third of all sets share is as many rows as there are chunks.
 
 Candidates are verified exactly, without making all pairs of a group: each set is first held
 against the least set of the bucket it shares most signatures with, then against the other
 buckets' least sets where the components found so far differ; what shares a bucket and still has
 different components is joined by its differences from a common centre (``_by_difference``). No
-link between components is lost.
+link between components is lost. Texts are compared only of pairs whose sketches, a byte for each
+segment, leave a link possible: segments that differ are a lower bound on shingles that do.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing;
 fewer words than a shingle form one; rows of one doc_id are one document whose texts may each
 link it; a row with a null doc_id has a null component and no links; copies are one set; an
-empty table gives an empty one; other columns are ignored by ``join`` and kept by ``one_each``.
+empty table gives an empty one; other columns are ignored by ``join`` and kept by ``one_each``,
+which keeps one of rows equal in doc_id and text, and every row whose doc_id is null.
 """
 
 from __future__ import annotations
@@ -27,18 +37,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, settle
+from .common import BROADCAST_IDS, discard, join_hot, keyed_text, settle
 from .components import components
 
 WORDS, PERCENT = 3, 90
 #: Sets that the allocation is decided on, at most about; what a colliding pair costs in signatures.
 SAMPLE, PAIR_COST = 4000, 4
-#: Ids of documents to verify are broadcast up to so many; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-KEPT_WORDS = 400_000
+#: Spare segments: one for each so many differences, so that a band's lowest segments need no signature.
+SPARE = 4
+#: Signatures that a task groups at a time.
+CHUNK = 1_000_000
+KEPT_WORDS, KEPT_CENTRES = 400_000, 64
+#: Characters of centres' texts that are broadcast, at most.
+BROADCAST_TEXT = 64_000_000
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -86,47 +100,63 @@ class Signer:
     def __init__(self, percent: int, share=lambda band: 0.0):
         self.percent, self.share, self.edges = percent, share, band_edges(percent, 1 << 12)
 
-    def segments(self, band: int) -> tuple[int, int]:
-        """(segments up to one deletion, exact segments) of a band."""
+    def segments(self, band: int, share: float | None = None) -> tuple[int, int, int]:
+        """(segments up to one deletion, exact segments, lowest exact ones left out) of a band."""
         most = (2 * (self.edges[band + 1] - 1) * (100 - self.percent)) // (100 + self.percent)
-        d = int(self.share(band) * ((most + 2) // 2))
-        return d, max(0, most + 1 - 2 * d)
+        d = int((self.share(band) if share is None else share) * ((most + 2) // 2))
+        e = max(0, most + 1 - 2 * d)
+        spare = e // SPARE
+        return d, e + spare, spare
 
     def band(self, size: int) -> int:
         if size >= self.edges[-3]:
             self.edges = band_edges(self.percent, 2 * size)
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
+    def _cut(self, items: np.ndarray, band: int, n: int):
+        """(mixed shingles by segment, their segments, sizes, contents) for ``n`` segments."""
+        salt = np.uint64((band * 2 + 1) * int(_K[0]) % (1 << 64))
+        mixed = mix(items ^ salt)
+        segment = (mixed >> np.uint64(24)) % np.uint64(n)
+        order = np.argsort(segment, kind="stable")
+        mixed, segment = mixed[order] * _K[1] + _K[2], segment[order].astype(np.int64)
+        sums = np.zeros(n, np.uint64)
+        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        sums[segment[first]] = np.add.reduceat(mixed, first)
+        of = np.arange(n, dtype=np.uint64) * _K[2] + salt
+        return mixed, segment, np.bincount(segment, minlength=n), sums, mix(of)
+
     def __call__(self, items: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(band, signatures) in a set's own band and the next."""
         out = []
         own = self.band(len(items))
         for band in (own, own + 1):
-            d, e = self.segments(band)
-            salt = np.uint64((band * 2 + 1) * int(_K[0]) % (1 << 64))
-            mixed = mix(items ^ salt)
-            segment = (mixed >> np.uint64(24)) % np.uint64(d + e)
-            order = np.argsort(segment, kind="stable")
-            mixed, segment = mixed[order] * _K[1] + _K[2], segment[order].astype(np.int64)
-            sums = np.zeros(d + e, np.uint64)
-            first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-            sums[segment[first]] = np.add.reduceat(mixed, first)
-            of = np.arange(d + e, dtype=np.uint64) * _K[2] + salt
-            whole = mix(sums ^ mix(of))
+            d, e, spare = self.segments(band)
+            mixed, segment, sizes, sums, of = self._cut(items, band, d + e)
+            whole = mix(sums ^ of)
+            exact = whole[d:]
+            if spare:
+                exact = exact[np.lexsort((exact, sizes[d:]))[spare:]]
             inside = segment < d
-            less = mix((sums[segment[inside]] - mixed[inside]) ^ mix(of[segment[inside]]))
-            out.append((band, np.concatenate([whole, less]).view(np.int64)))
+            less = mix((sums[segment[inside]] - mixed[inside]) ^ of[segment[inside]])
+            out.append((band, np.concatenate([whole[:d], exact, less]).view(np.int64)))
         return out
 
+    def sketch(self, items: np.ndarray) -> tuple[int, bytes, bytes]:
+        """A set's band, and a byte for each segment of it and of the next."""
+        own = self.band(len(items))
+        low, high = (mix(self._cut(items, band, sum(self.segments(band, 0.0)[:2]))[3]).astype(np.uint8).tobytes() for band in (own, own + 1))
+        return own, low, high
+
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _allocation(keyed: DataFrame, words: int, percent: int) -> dict[int, float]:
-    """For each band of a sample, the share of one-deletion segments that costs least."""
-    share = min(1.0, SAMPLE / max(keyed.count(), 1))
+def _allocation(keyed: DataFrame, n: int, words: int, percent: int) -> dict[int, float]:
+    """For each band of a sample of ``n`` rows, the share of one-deletion segments that costs least."""
+    share = min(1.0, SAMPLE / max(n, 1))
     sample = keyed.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
     choices = (0.0, 0.5, 1.0)
 
@@ -151,33 +181,146 @@ def _allocation(keyed: DataFrame, words: int, percent: int) -> dict[int, float]:
     return {band: choice for band, (_, choice) in best.items()}
 
 
-def _signed(keyed: DataFrame, allocation: dict[int, float], words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, rep (a row of the same task with the same set) and a rep's signatures."""
+def _sets(keyed: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles and the digest (h1, h2) of each row's set."""
+
+    def run(batches):
+        shingle = Shingler(words)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes, digests = [], []
+            for text in batch.column(1):
+                items = shingle(text.as_py())
+                sizes.append(len(items))
+                digests.append(xxhash.xxh128_digest(items.tobytes()))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "n_shingles", "h1", "h2"])
+
+    return keyed.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+
+
+def _merged(sets: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and rep, the least doc_id with the same set; null for an empty one."""
+    copies = sets.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    copies = settle(copies.where("rep < last").drop("last"), "jj-copies")
+    rep = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id"))
+    out = settle(join_hot(sets, copies, ["h1", "h2"], copies.count(), "left").select("doc_id", "n_shingles", rep.alias("rep")), "jj-merged")
+    discard(copies)
+    return out
+
+
+def _signatures(texts: DataFrame, allocation: dict[int, float], words: int, percent: int, chunk: int) -> DataFrame:
+    """(sig, of, doc): for each signature of a chunk its least document, of being null, and where it has more, all of them, of being the least."""
+
+    def grouped(sigs, docs):
+        sig, doc = np.concatenate(sigs), np.repeat(np.array([d for d, _ in docs], np.int64), [n for _, n in docs])
+        order = np.lexsort((doc, sig))
+        sig, doc = sig[order], doc[order]
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        n = np.diff(np.r_[first, len(sig)])
+        many = np.repeat(n > 1, n)
+        head = np.repeat(doc[first], n)[many]
+        of = pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(head)])
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[sig[first], sig[many]]), of, pa.array(np.r_[doc[first], doc[many]])], ["sig", "of", "doc"])
+
+    def run(batches):
+        shingle, signer = Shingler(words), Signer(percent, lambda b: allocation.get(b, 0.0))
+        sigs, docs, size = [], [], 0
+        for key, text in _pairs_of(batches):
+            items = shingle(text)
+            if not len(items):
+                continue
+            own = np.concatenate([s for _, s in signer(items)])
+            sigs.append(own)
+            docs.append((key, len(own)))
+            size += len(own)
+            if size >= chunk:
+                yield grouped(sigs, docs)
+                sigs, docs, size = [], [], 0
+        if size:
+            yield grouped(sigs, docs)
+
+    return texts.mapInArrow(run, "sig long, of long, doc long")
+
+
+def _buckets(signatures: DataFrame) -> DataFrame:
+    """sig, head, doc of what shares a signature, a bucket's head among its docs.
+
+    The head is the least document of all, or of a chunk for what the chunk had grouped. Rows of a
+    partition come in order, so a bucket of any size is passed on as it streams by.
+    """
+
+    def run(batches):
+        last = None  # the bucket's row that rows to come belong to, and whether it was passed on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = batch.column(1)
+            member = of.is_valid().to_numpy(zero_copy_only=False)
+            sig, doc = (batch.column(k).to_numpy() for k in (0, 2))
+            parts = [(sig[member], of.drop_null().to_numpy(), doc[member])]
+            sig, doc = sig[~member], doc[~member]
+            if last is not None:
+                sig, doc = np.r_[np.int64(last[0]), sig], np.r_[np.int64(last[1]), doc]
+            if len(sig):
+                first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+                n = np.diff(np.r_[first, len(sig)])
+                passed, head = np.repeat(n > 1, n), np.repeat(doc[first], n)
+                done = last is not None and last[2]
+                last = (sig[first[-1]], doc[first[-1]], bool(n[-1] > 1) or (done and len(first) == 1))
+                if done:
+                    passed[0] = False
+                parts.append((sig[passed], head[passed], doc[passed]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["sig", "head", "doc"])
+
+    dealt = signatures.repartition("sig", "of").sortWithinPartitions("sig", "of", "doc")
+    return settle(dealt.mapInArrow(run, "sig long, head long, doc long"), "jj-buckets")
+
+
+def _possible(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that the sketches of their texts leave possible."""
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jj-ids")
+    few = ids.count() <= BROADCAST_IDS
+
+    def sketches(batches):
+        shingle, signer = Shingler(words), Signer(percent)
+        for batch in batches:
+            rows = []
+            for key, text in _pairs_of([batch]):
+                items = shingle(text)
+                if len(items):
+                    rows.append((key, len(items), *signer.sketch(items)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "band", "low", "high"])
+
+    texts = keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    made = settle(texts.mapInArrow(sketches, "doc_id long, n long, band int, low binary, high binary"), "jj-sketches")
+    left, right = (made.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "low", "high")]) for x in "ab")
 
     def run(batches):
-        shingle, signer, reps = Shingler(words), Signer(percent, lambda b: allocation.get(b, 0.0)), {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                ids, sizes, heads, sigs = [], [], [], []
-                for key, text in _pairs_of([batch.slice(k, 500)]):
-                    items = shingle(text)
-                    ids.append(key)
-                    sizes.append(len(items))
-                    if key is None or not len(items):
-                        heads.append(key)
-                        sigs.append(None)
-                        continue
-                    rep = reps.setdefault(xxhash.xxh128_digest(items.tobytes()), key)
-                    heads.append(rep)
-                    sigs.append(np.concatenate([s for _, s in signer(items)]) if rep == key else None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "rep", "sigs"])
-
-    return keyed.mapInArrow(run, "doc_id long, n_shingles long, rep long, sigs array<long>")
+            a, b = [], []
+            for x, y, n, m, p, q, low, high, other_low, other_high in _pairs_of([batch]):
+                if abs(p - q) > 1:
+                    continue
+                one, two = low if p >= q else high, other_low if q >= p else other_high
+                apart = np.count_nonzero(np.frombuffer(one, np.uint8) != np.frombuffer(two, np.uint8))
+                if (100 + percent) * max(apart, abs(n - m)) <= (100 - percent) * (n + m):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "band_a", "band_b", "low_a", "high_a", "low_b", "high_b")
+    out = settle(both.mapInArrow(run, "a long, b long").distinct(), "jj-possible")
+    discard(ids, made)
+    return out
 
 
 def _linked(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose texts link, verified exactly."""
-    pairs = settle(pairs, "jj-pairs")
+    pairs = _possible(pairs, keyed, words, percent)
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jj-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -205,7 +348,9 @@ def _linked(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return settle(both.mapInArrow(run, "a long, b long"), "jj-links")
+    out = settle(both.mapInArrow(run, "a long, b long"), "jj-links")
+    discard(pairs, ids)
+    return out
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -220,8 +365,8 @@ def _centres(first: DataFrame) -> DataFrame:
     up = first.select(F.col("a").alias("head"), F.col("b").alias("centre"))
     for _ in range(2):  # a head is greater than its own, so there is no circle
         over = up.select(F.col("head").alias("centre"), F.col("centre").alias("next"))
-        up = settle(up.join(over, "centre", "left").select("head", F.coalesce("next", "centre").alias("centre")), "jj-up")
-    return up
+        up = up.join(over, "centre", "left").select("head", F.coalesce("next", "centre").alias("centre"))
+    return settle(up, "jj-up")
 
 
 def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
@@ -238,28 +383,34 @@ def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: in
     ids = settle(members.select("doc").union(members.select("c")).distinct().withColumnRenamed("doc", "doc_id"), "jj-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    own, other = texts.select(F.col("doc_id").alias("doc"), "text"), texts.select(F.col("doc_id").alias("c"), F.col("text").alias("middle"))
+    own = texts.select(F.col("doc_id").alias("doc"), "text")
+    centres = settle(members.select("c").distinct(), "jj-centres")
+    n_centres = centres.count()
+    other = settle(keyed.join(F.broadcast(centres) if few else centres, F.col("doc_id") == F.col("c"), "left_semi").dropDuplicates(["doc_id", "text"]).select(F.col("doc_id").alias("c"), F.col("text").alias("middle")), "jj-middles")
+    size = other.agg(F.sum(F.length("middle"))).first()[0] or 0
 
     def run(batches):
-        shingle, last, middle = Shingler(words), None, None
+        shingle, middles = Shingler(words), {}
         for batch in batches:
             out = []
             for c, doc, root, text, centre in _pairs_of([batch]):
-                if centre != last:
-                    last, middle = centre, shingle(centre)
-                items = shingle(text)
+                if centre not in middles:
+                    if len(middles) >= KEPT_CENTRES:
+                        middles.clear()
+                    middles[centre] = shingle(centre)
+                items, middle = shingle(text), middles[centre]
                 beyond, lacking = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((items, middle), (middle, items)))
                 out.append((c, doc, root, len(items), np.concatenate([beyond, lacking]).view(np.int64)))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:4]], pa.array(columns[4], pa.list_(pa.int64()))], ["c", "doc", "root", "n", "d"])
 
-    differ = members.join(own, "doc").join(other, "c").select("c", "doc", "root", "text", "middle")
+    differ = join_hot(members.join(own, "doc"), other, ["c"], 0 if size <= BROADCAST_TEXT else BROADCAST_IDS + 1).select("c", "doc", "root", "text", "middle")
     differ = settle(differ.mapInArrow(run, "c long, doc long, root long, n long, d array<long>"), "jj-differ")
     excess = near * F.size("d").cast("long") - far * F.col("n")  # two of them: at most 0 where any two such sets link
     parts = differ.select("c", "doc", "root", "n", "d", excess.alias("e"))
 
     least = parts.groupBy("c").agg(F.min_by(F.struct("doc", "e", "root"), F.struct("e", "doc")).alias("x"))
-    tied = parts.join(least, "c").where((F.col("e") + F.col("x.e") <= 0) & (F.col("root") != F.col("x.root"))).select(F.col("doc").alias("a"), F.col("x.doc").alias("b"))
+    tied = join_hot(parts, least, ["c"], n_centres).where((F.col("e") + F.col("x.e") <= 0) & (F.col("root") != F.col("x.root"))).select(F.col("doc").alias("a"), F.col("x.doc").alias("b"))
 
     level = F.floor(F.col("e") / near)
     need = lambda e: F.greatest(F.lit(1), F.ceil(e))
@@ -267,59 +418,70 @@ def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: in
     levels = settle(levels, "jj-levels")
     # No partner needs less in common than one of the lowest level: what lies behind is never met.
     front = (F.col("k") - need((F.col("e") + near * F.array_min("levels")) / (2 * near)) + 1).cast("int")
-    items = parts.withColumn("k", F.size("d")).join(levels, "c").where(front > 0)
+    items = join_hot(parts.withColumn("k", F.size("d")), levels, ["c"], n_centres).where(front > 0)
     items = items.select("c", "doc", "root", "e", "k", F.posexplode(F.slice("d", F.lit(1), front)).alias("at", "item")).withColumn("at", F.col("at") + 1)
     common = items.groupBy("c", "item").agg(F.count("*").alias("f")).where("f > 1").select("c", "item")
     shared = settle(items.join(common, ["c", "item"]), "jj-items")
     index = shared.where(F.col("at") <= F.col("k") - need(F.col("e") / near) + 1).select("c", "item", level.alias("level"), F.col("doc").alias("b"), F.col("root").alias("root_b"))
-    probe = shared.join(levels, "c").select("*", level.alias("own"), F.explode("levels").alias("level")).where("level <= own")
+    probe = join_hot(shared, levels, ["c"], n_centres).select("*", level.alias("own"), F.explode("levels").alias("level")).where("level <= own")
     probe = probe.where(F.col("at") <= F.col("k") - need((F.col("e") + near * F.col("level")) / (2 * near)) + 1).select("c", "item", "level", F.col("doc").alias("a"), "root")
     pairs = probe.join(index, ["c", "item", "level"]).where("root != root_b").select("c", "a", "b").distinct()
     left, right = (parts.select("c", F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("d").alias(f"d_{x}")) for x in "ab")
     both = pairs.join(left, ["c", "a"]).join(right, ["c", "b"])
     apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    return settle(tied.unionByName(both.where(near * apart <= far * (F.col("n_a") + F.col("n_b"))).select("a", "b")), "jj-links")
+    out = settle(tied.unionByName(both.where(near * apart <= far * (F.col("n_a") + F.col("n_b"))).select("a", "b")), "jj-links")
+    discard(ids, centres, other, differ, levels, shared)
+    return out
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     keyed = keyed_text(docs)
-    signed = settle(_signed(keyed, _allocation(keyed, words, percent), words, percent), "jj-signed")
-    rows = signed.where("sigs is not null").select(F.explode("sigs").alias("sig"), F.col("rep").alias("doc"))
-    least = rows.groupBy("sig").agg(F.min("doc").alias("head"), F.max("doc").alias("tail")).where("head < tail").select("sig", "head")
-    buckets = settle(rows.join(least, "sig"), "jj-buckets")
+    sets = settle(_sets(keyed, words), "jj-sets")
+    merged = _merged(sets)
+    # A document signs unless all its texts are copies of another's.
+    copies = merged.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("rep") == F.col("doc_id")).alias("own")).where("not coalesce(own, false)")
+    copies = settle(copies.select("doc_id"), "jj-silent")
+    few = copies.count() <= BROADCAST_IDS
+    keyed = keyed.where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    allocation = _allocation(keyed, merged.count(), words, percent)
+    buckets = _buckets(_signatures(keyed, allocation, words, percent, chunk))
 
     # A set against the head of the bucket it shares most signatures with, then the other heads.
     shared = buckets.where("doc != head").groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("n"))
     shared = settle(shared, "jj-shared")
-    first = shared.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    first = settle(shared.groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), "b")).alias("b")), "jj-first")
     links = _linked(first, keyed, words, percent)
-    roots = settle(components(links), "jj-roots")
-    rest = _apart(shared.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"), roots)
+    roots = components(links)
+    rest = _apart(shared.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
     more = _linked(rest, keyed, words, percent)
-    links = links.unionByName(more)
-    roots = settle(components(links), "jj-roots")
+    discard(roots)
+    roots = components(links.unionByName(more))
 
     # What shares a bucket and is still in different components.
-    tagged = buckets.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "head", "doc", F.coalesce("root", "doc").alias("root"))
-    mixed = tagged.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
+    tagged = join_hot(buckets, roots.withColumnRenamed("node", "doc"), ["doc"], roots.count(), "left").select("sig", "head", "doc", F.coalesce("root", "doc").alias("root"))
+    mixed = tagged.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("head").alias("head")).where("low < high").select("sig", "head")
     centre = _centres(first)
-    left = tagged.join(mixed, "sig", "left_semi").join(centre, "head", "left").select(F.coalesce("centre", "head").alias("c"), "doc", "root").distinct()
-    links = links.unionByName(_by_difference(settle(left, "jj-left"), keyed, words, percent))
-
-    roots = components(links).withColumnRenamed("node", "rep")
-    least = signed.where("rep is not null and n_shingles > 0").groupBy("rep").agg(F.min("doc_id").alias("low"))
-    named = least.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "low")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = settle(named.join(lowest, "root").select("rep", "component_id"), "jj-names")
-    out = signed.select("doc_id", "n_shingles", "rep").join(names, "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    mixed = settle(mixed.join(centre, "head", "left").select("sig", F.coalesce("centre", "head").alias("c")), "jj-mixed")
+    left = settle(join_hot(tagged, mixed, ["sig"], mixed.count()).select("c", "doc", "root").distinct(), "jj-left")
+    tied = _by_difference(left, keyed, words, percent)
+    last = components(links.unionByName(more).unionByName(tied))
+    discard(shared, first, buckets, centre, mixed, left, links, more, tied, roots, sets, copies)
+
+    # A rep is the least document of its set, so the root is the least of the component.
+    out = join_hot(merged, last.withColumnRenamed("node", "rep"), ["rep"], last.count(), "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of linked ones, with all its columns; the rest unchanged."""
+    """One document of each group of linked ones, with all its columns."""
     named = settle(join(docs, words, percent), "jj-named")
     gone = settle(named.where("component_id != doc_id").select("doc_id").distinct(), "jj-gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = settle(named.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jj-twice")
+    near = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = docs.join(near(gone), "doc_id", "left_anti")
+    once = left.join(near(twice), "doc_id", "left_anti")
+    order = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns)))
+    again = left.join(near(twice), "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -39,15 +39,33 @@ def test_join_is_all_pairs(spark, seed, groups, copies, words, edits):
 
 
 def test_join_edge_cases(spark):
-    rows = [(None, "a b c d"), (1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "one two"), (7, "ONE\ttwo"), (8, "é b c"), (9, "É b c"), (9, "É b c"), (10, "w " * 50_000)]
+    rows = [(None, "a b c d"), (1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "one two"), (7, "ONE\ttwo"), (8, "é b c"), (9, "É b c"), (9, "É b c"), (10, "w " * 50_000), (None, "a b c d")]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, component_id int")
     found = sorted(jaccard_join.join(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
     assert len(found) == len(rows)
-    assert [(r.doc_id, r.component_id) for r in found] == [(None, None), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 9), (9, 9), (10, 10)]
-    assert found[1].n_shingles == 0 and found[4].n_shingles == 1
+    assert [(r.doc_id, r.component_id) for r in found] == [(None, None), (None, None), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 9), (9, 9), (10, 10)]
+    assert found[2].n_shingles == 0 and found[5].n_shingles == 1
     assert jaccard_join.join(docs.limit(0)).count() == 0
     kept = jaccard_join.one_each(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 6, 8, 9, 10}
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 8, 9, 10]
+
+
+def test_join_takes_any_long_as_id(spark):
+    top = 2**63 - 1
+    ids = lambda k: (top - k) if k % 2 else (-top + k)
+    rows = [(ids(k), t) for k, t in near_copies(4, 6, 6, 50, 2)]
+    assert {k: c for k, (_, c) in joined(spark, rows).items()} == brute.components(rows)
+
+
+def test_texts_of_one_document_are_linked_through_it(spark):
+    a, b, c = ("one two three four five", "six seven eight nine", "ten eleven twelve")
+    got = joined(spark, [(3, a), (9, a), (9, b), (12, b), (20, c), (21, c), (21, c)])
+    assert {k: x for k, (_, x) in got.items()} == {3: 3, 9: 3, 12: 3, 20: 20, 21: 20}
+
+
+def test_a_group_larger_than_a_chunk_is_one_component(spark):
+    rows = near_copies(8, 1, 150, 80, 3)
+    assert {k: c for k, (_, c) in joined(spark, rows, chunk=500).items()} == brute.components(rows)
 
 
 def test_linked_sets_share_a_signature():
@@ -66,6 +84,9 @@ def test_linked_sets_share_a_signature():
             if 100 * both >= 90 * (len(a) + len(b) - both):
                 x, y = ({s for _, sigs in signer(v) for s in sigs.tolist()} for v in (a, b))
                 assert x & y
+                (p, *one), (q, *two) = signer.sketch(a), signer.sketch(b)
+                apart = sum(u != v for u, v in zip(one[p < q], two[q < p], strict=True))
+                assert abs(p - q) <= 1 and 190 * apart <= 10 * (len(a) + len(b))
 
 
 def test_components(spark):
