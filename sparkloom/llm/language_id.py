@@ -28,6 +28,8 @@ from .common import held_out, keyed_text, text_slices
 #: N-grams of a profile; labelled documents that profiles are learned from, at most about.
 LENGTH, SAMPLE = 400, 10_000
 SLICE_CHARS = 2_000_000
+#: Counts of grams by text that are held at a time.
+CELLS = 2_000_000
 #: A document is rejected below this score or where it is undetermined.
 LEAST_SCORE = 0.2
 MAX_ORDER = 3
@@ -129,6 +131,12 @@ class Profiles:
         return self.table[grams]
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        """The language and the score of each text, in blocks of so many texts that counts of all grams fit ``CELLS``."""
+        step = max(1, CELLS // max(len(self.grams), 1))
+        blocks = [self._score(texts[k : k + step]) for k in range(0, len(texts), step)]
+        return [x for langs, _ in blocks for x in langs], [x for _, scores in blocks for x in scores]
+
+    def _score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         n, size = len(texts), max(len(self.grams), 1)
         points, owner = _points(texts)
         lettered = np.bincount(owner[points > 0], minlength=n) > 0
