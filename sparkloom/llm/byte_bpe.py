@@ -27,12 +27,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import WHITE_SPACE, keyed_text, text_slices
+from .common import WHITE_SPACE, keyed_text, lean, text_slices
 
 #: Texts are replayed in slices of about so many characters.
 SLICE_CHARS = 2_000_000
 #: A task keeps the codes of so many distinct pieces at most, then starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 #: A piece can end only before white space that follows something else.
 PIECES = f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+"
 
@@ -243,7 +243,7 @@ def _with_codec(spark, path: str, pattern: str, row, schema: str):
             columns = row(codec, ids, codec.encode(texts))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return lambda df: df.mapInArrow(run, schema)
+    return lambda df: df.mapInArrow(lean(run), schema)
 
 
 def _lists(coded: list[bytes]) -> pa.Array:
@@ -269,7 +269,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [b"".join(of[i] for i in ids or ()).decode(errors="replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,8 +78,21 @@ def join_hot(rows: DataFrame, lookup: DataFrame, on: list[str], n: int, how: str
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+#: Rows of an Arrow batch: with whole texts in them, the default of 10,000 would be tens of MB on both sides.
+BATCH_ROWS = 1000
+
+
+def short_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session sends batches of texts to Python that are short."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def keyed_text(docs: DataFrame) -> DataFrame:
     """Only the two columns the operators read; columns beside them can't clash."""
+    short_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -86,6 +101,21 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which its worker, which stays for other tasks, gives back what it held."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+
+    return wrapped
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) slices of about ``chars`` characters; a null text is empty."""
     ids: list = []

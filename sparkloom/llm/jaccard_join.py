@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, discard, join_hot, keyed_text, settle
+from .common import BROADCAST_IDS, discard, join_hot, keyed_text, lean, settle
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -50,7 +50,7 @@ SAMPLE, PAIR_COST = 4000, 4
 SPARE = 4
 #: Signatures that a task groups at a time.
 CHUNK = 1_000_000
-KEPT_WORDS, KEPT_CENTRES = 400_000, 64
+KEPT_WORDS, KEPT_CENTRES = 200_000, 64
 #: Characters of centres' texts that are broadcast, at most.
 BROADCAST_TEXT = 64_000_000
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -173,7 +173,7 @@ def _allocation(keyed: DataFrame, n: int, words: int, percent: int) -> dict[int,
                     n = len(sigs)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), pa.array(np.full(n, band, np.int32)), pa.array(sigs)], ["choice", "band", "sig"])
 
-    counts = sample.mapInArrow(run, "choice double, band int, sig long").groupBy("choice", "band", "sig").agg(F.count("*").alias("n"))
+    counts = sample.mapInArrow(lean(run), "choice double, band int, sig long").groupBy("choice", "band", "sig").agg(F.count("*").alias("n"))
     cost = counts.groupBy("band", "choice").agg((F.sum("n") + PAIR_COST * F.sum(F.col("n") - 1)).alias("cost"))  # a bucket is held against its head
     best: dict[int, tuple[float, float]] = {}
     for row in cost.collect():  # a few rows for each band
@@ -197,7 +197,7 @@ def _sets(keyed: DataFrame, words: int) -> DataFrame:
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "n_shingles", "h1", "h2"])
 
-    return keyed.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return keyed.mapInArrow(lean(run), "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def _merged(sets: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def _signatures(texts: DataFrame, allocation: dict[int, float], words: int, perc
         if size:
             yield grouped(sigs, docs)
 
-    return texts.mapInArrow(run, "sig long, of long, doc long")
+    return texts.mapInArrow(lean(run), "sig long, of long, doc long")
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ def _buckets(signatures: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["sig", "head", "doc"])
 
     dealt = signatures.repartition("sig", "of").sortWithinPartitions("sig", "of", "doc")
-    return settle(dealt.mapInArrow(run, "sig long, head long, doc long"), "jj-buckets")
+    return settle(dealt.mapInArrow(lean(run), "sig long, head long, doc long"), "jj-buckets")
 
 
 def _possible(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
@@ -296,7 +296,7 @@ def _possible(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "band", "low", "high"])
 
     texts = keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    made = settle(texts.mapInArrow(sketches, "doc_id long, n long, band int, low binary, high binary"), "jj-sketches")
+    made = settle(texts.mapInArrow(lean(sketches), "doc_id long, n long, band int, low binary, high binary"), "jj-sketches")
     left, right = (made.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "band", "low", "high")]) for x in "ab")
 
     def run(batches):
@@ -313,7 +313,7 @@ def _possible(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "band_a", "band_b", "low_a", "high_a", "low_b", "high_b")
-    out = settle(both.mapInArrow(run, "a long, b long").distinct(), "jj-possible")
+    out = settle(both.mapInArrow(lean(run), "a long, b long").distinct(), "jj-possible")
     discard(ids, made)
     return out
 
@@ -348,7 +348,7 @@ def _linked(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    out = settle(both.mapInArrow(run, "a long, b long"), "jj-links")
+    out = settle(both.mapInArrow(lean(run), "a long, b long"), "jj-links")
     discard(pairs, ids)
     return out
 
@@ -375,9 +375,10 @@ def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: in
     With D(x) = x minus c and c minus x, two members differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
     shingles. Where their D are small enough to link without a common part, both are linked with
     the member whose D is smallest for its size; so those are tied to it. All other links need a
-    common part of a known size: D lists its elements from the rarest of the group, and such a
-    pair meets in the front parts of its lists. Groups of copies thus cost what their differences
-    cost, not the square of their size.
+    common part of a known size, no larger than either D: D lists what a member has beyond the
+    centre first, and such a pair meets in the front parts of its lists. Pairs within the group's
+    main component aren't made. Groups of copies thus cost what their differences cost, not the
+    square of their size.
     """
     near, far = 100 + percent, 100 - percent
     ids = settle(members.select("doc").union(members.select("c")).distinct().withColumnRenamed("doc", "doc_id"), "jj-ids")
@@ -405,32 +406,45 @@ def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: in
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:4]], pa.array(columns[4], pa.list_(pa.int64()))], ["c", "doc", "root", "n", "d"])
 
     differ = join_hot(members.join(own, "doc"), other, ["c"], 0 if size <= BROADCAST_TEXT else BROADCAST_IDS + 1).select("c", "doc", "root", "text", "middle")
-    differ = settle(differ.mapInArrow(run, "c long, doc long, root long, n long, d array<long>"), "jj-differ")
+    differ = settle(differ.mapInArrow(lean(run), "c long, doc long, root long, n long, d array<long>"), "jj-differ")
     excess = near * F.size("d").cast("long") - far * F.col("n")  # two of them: at most 0 where any two such sets link
     parts = differ.select("c", "doc", "root", "n", "d", excess.alias("e"))
 
     least = parts.groupBy("c").agg(F.min_by(F.struct("doc", "e", "root"), F.struct("e", "doc")).alias("x"))
-    tied = join_hot(parts, least, ["c"], n_centres).where((F.col("e") + F.col("x.e") <= 0) & (F.col("root") != F.col("x.root"))).select(F.col("doc").alias("a"), F.col("x.doc").alias("b"))
+    tied = join_hot(parts, least, ["c"], n_centres).where((F.col("e") + F.col("x.e") <= 0) & (F.col("root") != F.col("x.root")))
+    tied = settle(tied.select(F.col("doc").alias("a"), F.col("x.doc").alias("b"), "root", F.col("x.root").alias("root_b")), "jj-tied")
+    again = components(tied.select(F.col("root").alias("a"), F.col("root_b").alias("b")))
+    parts = join_hot(parts, again.select(F.col("node").alias("root"), F.col("root").alias("now")), ["root"], again.count(), "left")
+    parts = parts.select("c", "doc", F.coalesce("now", "root").alias("root"), "n", "d", "e", F.size("d").alias("k"), F.floor(F.col("e") / near).alias("own"))
+
+    # Groups that are still of several components: the largest of them, and the levels of their members.
+    groups = parts.groupBy("c", "root").agg(F.count("*").alias("m")).groupBy("c").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1")
+    levels = parts.where("k > 0").groupBy("c", "own").agg(F.max("k").alias("most")).groupBy("c").agg(F.collect_list(F.struct(F.col("own").alias("level"), "most")).alias("levels"))
+    groups = settle(groups.join(levels, "c").select("c", "main", "levels"), "jj-groups")  # no more levels than a document has shingles
 
-    level = F.floor(F.col("e") / near)
     need = lambda e: F.greatest(F.lit(1), F.ceil(e))
-    levels = parts.where(F.size("d") > 0).groupBy("c").agg(F.collect_set(level).alias("levels"))  # no more than a document has shingles
-    levels = settle(levels, "jj-levels")
+    with_level = lambda level: need((F.col("e") + near * level) / (2 * near))
+    # A partner of a level can have as much in common as its differences, no more.
+    open_to = F.filter("levels", lambda v: (v["level"] <= F.col("own")) & (with_level(v["level"]) <= F.least("k", v["most"])))
+    items = join_hot(parts.where("k > 0"), groups, ["c"], n_centres).withColumn("levels", F.transform(open_to, lambda v: v["level"]))
     # No partner needs less in common than one of the lowest level: what lies behind is never met.
-    front = (F.col("k") - need((F.col("e") + near * F.array_min("levels")) / (2 * near)) + 1).cast("int")
-    items = join_hot(parts.withColumn("k", F.size("d")), levels, ["c"], n_centres).where(front > 0)
-    items = items.select("c", "doc", "root", "e", "k", F.posexplode(F.slice("d", F.lit(1), front)).alias("at", "item")).withColumn("at", F.col("at") + 1)
+    front = (F.col("k") - with_level(F.array_min("levels")) + 1).cast("int")
+    items = items.where(F.size("levels") > 0).select("c", "doc", "root", "e", "k", "own", "levels", (F.col("root") == F.col("main")).alias("main"), F.posexplode(F.slice("d", F.lit(1), front)).alias("at", "item"))
     common = items.groupBy("c", "item").agg(F.count("*").alias("f")).where("f > 1").select("c", "item")
-    shared = settle(items.join(common, ["c", "item"]), "jj-items")
-    index = shared.where(F.col("at") <= F.col("k") - need(F.col("e") / near) + 1).select("c", "item", level.alias("level"), F.col("doc").alias("b"), F.col("root").alias("root_b"))
-    probe = join_hot(shared, levels, ["c"], n_centres).select("*", level.alias("own"), F.explode("levels").alias("level")).where("level <= own")
-    probe = probe.where(F.col("at") <= F.col("k") - need((F.col("e") + near * F.col("level")) / (2 * near)) + 1).select("c", "item", "level", F.col("doc").alias("a"), "root")
-    pairs = probe.join(index, ["c", "item", "level"]).where("root != root_b").select("c", "a", "b").distinct()
+    shared = settle(items.withColumn("at", F.col("at") + 1).join(common, ["c", "item"]), "jj-items")
+    # Of two members one at least is outside the main component: its own members meet only others.
+    sides = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    index = shared.where(F.col("at") <= F.col("k") - need(F.col("e") / near) + 1)
+    index = index.select("c", "item", F.col("own").alias("level"), F.explode(sides).alias("side"), F.col("doc").alias("b"), F.col("root").alias("root_b"), F.col("e").alias("e_b"), F.col("k").alias("k_b"), F.col("main").alias("main_b"))
+    probe = shared.select("c", "item", "at", "e", "k", "own", "root", F.col("main").alias("side"), F.col("doc").alias("a"), F.explode("levels").alias("level"))
+    probe = probe.where((F.col("at") <= F.col("k") - with_level(F.col("level")) + 1) & (~F.col("side") | (F.col("level") < F.col("own"))))
+    meet = (F.col("root") != F.col("root_b")) & (F.col("e") + F.col("e_b") <= 2 * near * F.least("k", "k_b")) & ((F.col("level") < F.col("own")) | F.col("main_b") | (F.col("a") < F.col("b")))
+    pairs = probe.join(index, ["c", "item", "level", "side"]).where(meet).select("c", "a", "b").distinct()
     left, right = (parts.select("c", F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("d").alias(f"d_{x}")) for x in "ab")
     both = pairs.join(left, ["c", "a"]).join(right, ["c", "b"])
     apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    out = settle(tied.unionByName(both.where(near * apart <= far * (F.col("n_a") + F.col("n_b"))).select("a", "b")), "jj-links")
-    discard(ids, centres, other, differ, levels, shared)
+    out = settle(tied.select("a", "b").unionByName(both.where(near * apart <= far * (F.col("n_a") + F.col("n_b"))).select("a", "b")), "jj-links")
+    discard(ids, centres, other, differ, tied, again, groups, shared)
     return out
 
 

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, keyed_text, text_slices
+from .common import held_out, keyed_text, lean, short_batches, text_slices
 
 #: N-grams of a profile; labelled documents that profiles are learned from, at most about.
 LENGTH, SAMPLE = 400, 10_000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 #: Counts of grams by text that are held at a time.
 CELLS = 2_000_000
 #: A document is rejected below this score or where it is undetermined.
@@ -95,7 +95,7 @@ def learn(docs: DataFrame, bound: int = SAMPLE, length: int = LENGTH) -> dict[st
             grams = [_spell(g, 21) for g in counts]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(lean(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= length)
     profiles: dict[str, dict[str, int]] = {}
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, profiles: dict[str, dict[str, int]]) -> DataFrame:
             langs, scores = judge.score(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    found = keyed_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = keyed_text(docs).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
@@ -178,9 +178,9 @@ def accepted(docs: DataFrame, profiles: dict[str, dict[str, int]], least: float
     def run(batches):
         judge = Profiles(profiles)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100)
                 langs, scores = judge.score([x or "" for x in part.column(at).to_pylist()])
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return short_batches(docs).mapInArrow(lean(run), docs.schema)

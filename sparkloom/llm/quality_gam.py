@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keyed_text, labelled_sample, text_slices
+from .common import held_out, keyed_text, labelled_sample, lean, text_slices
 
 SAMPLE, SLICE_CHARS = 20_000, 2_000_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -180,7 +180,7 @@ def _measured(docs: DataFrame) -> DataFrame:
             x = features(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x[:, k]) for k in range(x.shape[1])]], ["doc_id", *FEATURES])
 
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model | None:
@@ -201,5 +201,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p = model.score(features(texts)) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p)], ["doc_id", "score"])
 
-    found = keyed_text(docs).mapInArrow(run, "doc_id long, score double")
+    found = keyed_text(docs).mapInArrow(lean(run), "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

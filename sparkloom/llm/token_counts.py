@@ -26,13 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WHITE_SPACE, keyed_text, text_slices
+from .common import WHITE_SPACE, keyed_text, lean, text_slices
 
 #: Texts of more characters are encoded in overlapping chunks of so many.
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 256
 SLICE_CHARS = 4_000_000
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 LIMIT = 1024
 PIECES = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 BORDER = re.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]")
@@ -128,4 +128,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             columns = [pa.array(ids, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return keyed_text(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keyed_text, labelled_sample, text_slices
+from .common import held_out, keyed_text, labelled_sample, lean, text_slices
 
 SAMPLE, SLICE_CHARS = 20_000, 2_000_000
 #: A lexicon entry is in so many toxic documents at least, and so much of its documents are toxic.
@@ -167,7 +167,7 @@ def _scattered(sample: DataFrame, terms: set[str]) -> set[str]:
                         seen.add((term, f"{tokens[k - 1]} {tokens[k + 1]}"))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string())], ["term", "place"])
 
-    found = sample.where("y = 1").select("doc_id", "text").mapInArrow(places, "term string, place string")
+    found = sample.where("y = 1").select("doc_id", "text").mapInArrow(lean(places), "term string, place string")
     return {r["term"] for r in found.groupBy("term").agg(F.countDistinct("place").alias("n")).where(F.col("n") >= 2 * SUPPORT).collect()}
 
 
@@ -183,7 +183,7 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
     def counts(rows, wanted=None):
-        found = rows.select("doc_id", "text").mapInArrow(lambda b: count(b, wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        found = rows.select("doc_id", "text").mapInArrow(lean(lambda b: count(b, wanted)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
         return found
 
     toxic = {r["term"]: r["n"] for r in counts(sample.where("y = 1")).where(F.col("n") >= SUPPORT).collect()}  # of a bounded sample
@@ -216,7 +216,7 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
             seen.update(w for w in new if (m := automaton.match(w)) and m[0] == "fuzzy")
         yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["word"])
 
-    clean = [r["word"] for r in sample.where("y = 0").select("doc_id", "text").mapInArrow(near, "word string").distinct().collect()]
+    clean = [r["word"] for r in sample.where("y = 0").select("doc_id", "text").mapInArrow(lean(near), "word string").distinct().collect()]
     return words, stems, sorted(clean)
 
 
@@ -252,7 +252,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             rows = np.array(matcher.counts(texts)).reshape(len(texts), 6)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(rows[:, k]) for k in range(6)]], ["doc_id", "words", "exact", "stem", "fuzzy", "quoted", "kinds"])
 
-    measure = lambda rows: rows.mapInArrow(measured, "doc_id long, words double, exact double, stem double, fuzzy double, quoted double, kinds double")
+    measure = lambda rows: rows.mapInArrow(lean(measured), "doc_id long, words double, exact double, stem double, fuzzy double, quoted double, kinds double")
     # The label goes along in the place of the id, which is no input of the counts.
     labelled = sample.select(F.col("y").cast("long").alias("doc_id"), "text")
     rows = sorted(tuple(r) for r in measure(labelled).collect())  # a bounded sample
@@ -264,5 +264,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(_features(counts) @ weights, -30, 30))) if weights is not None else np.zeros(len(counts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    found = keyed_text(docs).mapInArrow(run, "doc_id long, score double")
+    found = keyed_text(docs).mapInArrow(lean(run), "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
