@@ -38,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an id table that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Parts that the rows of one key are dealt to where a key may be hot and the other side isn't broadcast.
-SALTS = 32
+#: Rows of one key that go to a part of a shuffled join with a lookup, about.
+HOT_ROWS = 1000
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
@@ -68,14 +68,19 @@ def discard(*settled: DataFrame) -> None:
 def join_hot(rows: DataFrame, lookup: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with a ``lookup`` of ``n`` rows by keys that may hold a large share of ``rows``.
 
-    A small lookup is broadcast; for a larger one the rows of a key are dealt to ``SALTS`` parts
-    by all their columns.
+    A small lookup is broadcast. For a larger one the rows of a key that has many are dealt by
+    all their columns to parts of ``HOT_ROWS``, and the key's lookup rows go to each of them.
     """
     if n <= BROADCAST_IDS:
         return rows.join(F.broadcast(lookup), on, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = settle(hot.select(*on, F.ceil(F.col("_n") / HOT_ROWS).alias("_parts")), "hot")
+    known = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    part = F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_parts"), F.lit(0).cast("long"))
+    dealt = rows.join(known, on, "left").withColumn("_part", part).drop("_parts")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts") - 1, F.lit(0).cast("long"))))
+    copies = lookup.join(known, on, "left").withColumn("_part", parts).drop("_parts")
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")
 
 
 #: Rows of an Arrow batch: with whole texts in them, the default of 10,000 would be tens of MB on both sides.

@@ -5,7 +5,7 @@ import random
 import brute
 import pytest
 
-from sparkloom.llm import components, jaccard_join
+from sparkloom.llm import common, components, jaccard_join
 
 
 def near_copies(seed, groups, copies, words=60, edits=3):
@@ -105,3 +105,15 @@ def test_components(spark):
             p, q = sorted((find(a), find(b)))
             root[q] = p
     assert got == {k: find(k) for k in root}
+
+
+def test_a_hot_key_is_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_IDS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 7)
+    rows = spark.createDataFrame([(k % 2 if k < 90 else k, k) for k in range(100)] + [(None, 1)], "key long, x long")
+    lookup = spark.createDataFrame([(k, -k) for k in range(95)], "key long, y long")
+    got = common.join_hot(rows, lookup, ["key"], 95, "left")
+    assert got.columns == ["key", "x", "y"]
+    want = [(None, 1, None)] + [((k % 2 if k < 90 else k), k, (-(k % 2) if k < 90 else -k if k < 95 else None)) for k in range(100)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert common.join_hot(rows, lookup, ["key"], 95).count() == 95
