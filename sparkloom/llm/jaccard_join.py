@@ -52,7 +52,7 @@ SPARE = 4
 CHUNK = 1_000_000
 KEPT_WORDS, KEPT_CENTRES = 200_000, 64
 #: Characters of centres' texts that are broadcast, at most.
-BROADCAST_TEXT = 64_000_000
+BROADCAST_TEXT = 16_000_000
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -312,20 +312,25 @@ def _possible(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> D
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "band_a", "band_b", "low_a", "high_a", "low_b", "high_b")
+    pairs_few = pairs.count() <= BROADCAST_IDS
+    both = _beside(pairs, left, "a", pairs_few).join(right, "b").select("a", "b", "n_a", "n_b", "band_a", "band_b", "low_a", "high_a", "low_b", "high_b")
     out = settle(both.mapInArrow(lean(run), "a long, b long").distinct(), "jj-possible")
     discard(ids, made)
     return out
 
 
+def _beside(rows: DataFrame, wide: DataFrame, key: str, few: bool) -> DataFrame:
+    """``rows`` of ids with the columns of a wide table, which isn't moved where the rows are few."""
+    return wide.join(F.broadcast(rows) if few else rows, key)
+
+
 def _linked(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose texts link, verified exactly."""
     pairs = _possible(pairs, keyed, words, percent)
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jj-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+    few = pairs.count() <= BROADCAST_IDS
+    left = _beside(pairs, keyed.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a", few)
+    ids = pairs.select("b").distinct()
+    right = keyed.select(F.col("doc_id").alias("b"), F.col("text").alias("right")).join(F.broadcast(ids) if few else ids, "b", "left_semi")
 
     def run(batches):
         shingle, last, items = Shingler(words), None, None
@@ -347,9 +352,9 @@ def _linked(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> Dat
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    both = left.join(right, "b").select("a", "b", "left", "right")
     out = settle(both.mapInArrow(lean(run), "a long, b long"), "jj-links")
-    discard(pairs, ids)
+    discard(pairs)
     return out
 
 
@@ -381,70 +386,92 @@ def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: in
     square of their size.
     """
     near, far = 100 + percent, 100 - percent
-    ids = settle(members.select("doc").union(members.select("c")).distinct().withColumnRenamed("doc", "doc_id"), "jj-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = keyed.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    own = texts.select(F.col("doc_id").alias("doc"), "text")
+    few = members.count() <= BROADCAST_IDS
     centres = settle(members.select("c").distinct(), "jj-centres")
     n_centres = centres.count()
-    other = settle(keyed.join(F.broadcast(centres) if few else centres, F.col("doc_id") == F.col("c"), "left_semi").dropDuplicates(["doc_id", "text"]).select(F.col("doc_id").alias("c"), F.col("text").alias("middle")), "jj-middles")
-    size = other.agg(F.sum(F.length("middle"))).first()[0] or 0
-
-    def run(batches):
-        shingle, middles = Shingler(words), {}
-        for batch in batches:
-            out = []
-            for c, doc, root, text, centre in _pairs_of([batch]):
-                if centre not in middles:
-                    if len(middles) >= KEPT_CENTRES:
-                        middles.clear()
-                    middles[centre] = shingle(centre)
-                items, middle = shingle(text), middles[centre]
-                beyond, lacking = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((items, middle), (middle, items)))
-                out.append((c, doc, root, len(items), np.concatenate([beyond, lacking]).view(np.int64)))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:4]], pa.array(columns[4], pa.list_(pa.int64()))], ["c", "doc", "root", "n", "d"])
-
-    differ = join_hot(members.join(own, "doc"), other, ["c"], 0 if size <= BROADCAST_TEXT else BROADCAST_IDS + 1).select("c", "doc", "root", "text", "middle")
-    differ = settle(differ.mapInArrow(lean(run), "c long, doc long, root long, n long, d array<long>"), "jj-differ")
-    excess = near * F.size("d").cast("long") - far * F.col("n")  # two of them: at most 0 where any two such sets link
-    parts = differ.select("c", "doc", "root", "n", "d", excess.alias("e"))
-
-    least = parts.groupBy("c").agg(F.min_by(F.struct("doc", "e", "root"), F.struct("e", "doc")).alias("x"))
-    tied = join_hot(parts, least, ["c"], n_centres).where((F.col("e") + F.col("x.e") <= 0) & (F.col("root") != F.col("x.root")))
+    other = centres.join(keyed.select(F.col("doc_id").alias("c"), F.col("text").alias("middle")), "c")
+    if few:
+        other = keyed.select(F.col("doc_id").alias("c"), F.col("text").alias("middle")).join(F.broadcast(centres), "c", "left_semi")
+    other = settle(other, "jj-middles")
+    small = 0 if (other.agg(F.sum(F.length("middle"))).first()[0] or 0) <= BROADCAST_TEXT else BROADCAST_IDS + 1
+
+    def differences(rows: DataFrame, whole: bool) -> DataFrame:
+        """c, doc, root, n, the sizes k of D and beyond of its first part, and D, or what of it a partner can meet."""
+
+        def run(batches):
+            shingle, middles = Shingler(words), {}
+            for batch in batches:
+                out = []
+                for c, doc, root, text, centre in _pairs_of([batch]):
+                    if centre not in middles:
+                        if len(middles) >= KEPT_CENTRES:
+                            middles.clear()
+                        middles[centre] = shingle(centre)
+                    items, middle = shingle(text), middles[centre]
+                    beyond, lacking = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((items, middle), (middle, items)))
+                    d = np.concatenate([beyond, lacking]).view(np.int64)
+                    # A partner differs in no more than this, so its common part reaches into the front of D.
+                    front = len(d) if whole else far * len(items) // percent + 2
+                    out.append((c, doc, root, len(items), len(d), len(beyond), d[:front]))
+                columns = list(zip(*out, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:6]], pa.array(columns[6], pa.list_(pa.int64()))], ["c", "doc", "root", "n", "k", "beyond", "d"])
+
+        own = _beside(rows, keyed.select(F.col("doc_id").alias("doc"), "text"), "doc", few)
+        both = join_hot(own, other, ["c"], small).select("c", "doc", "root", "text", "middle")
+        return both.mapInArrow(lean(run), "c long, doc long, root long, n long, k long, beyond long, d array<long>")
+
+    excess = near * F.col("k") - far * F.col("n")  # two of them: at most 0 where any two such sets link
+    differ = settle(differences(members, False).withColumn("e", excess), "jj-differ")
+    least = differ.groupBy("c").agg(F.min_by(F.struct("doc", "e", "root"), F.struct("e", "doc")).alias("x"))
+    tied = join_hot(differ, least, ["c"], n_centres).where((F.col("e") + F.col("x.e") <= 0) & (F.col("root") != F.col("x.root")))
     tied = settle(tied.select(F.col("doc").alias("a"), F.col("x.doc").alias("b"), "root", F.col("x.root").alias("root_b")), "jj-tied")
     again = components(tied.select(F.col("root").alias("a"), F.col("root_b").alias("b")))
-    parts = join_hot(parts, again.select(F.col("node").alias("root"), F.col("root").alias("now")), ["root"], again.count(), "left")
-    parts = parts.select("c", "doc", F.coalesce("now", "root").alias("root"), "n", "d", "e", F.size("d").alias("k"), F.floor(F.col("e") / near).alias("own"))
-
-    # Groups that are still of several components: the largest of them, and the levels of their members.
-    groups = parts.groupBy("c", "root").agg(F.count("*").alias("m")).groupBy("c").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1")
-    levels = parts.where("k > 0").groupBy("c", "own").agg(F.max("k").alias("most")).groupBy("c").agg(F.collect_list(F.struct(F.col("own").alias("level"), "most")).alias("levels"))
-    groups = settle(groups.join(levels, "c").select("c", "main", "levels"), "jj-groups")  # no more levels than a document has shingles
+    now = again.select(F.col("node").alias("root"), F.col("root").alias("now"))
+    renew = lambda rows: join_hot(rows, now, ["root"], again.count(), "left").withColumn("root", F.coalesce("now", "root")).drop("now")
 
     need = lambda e: F.greatest(F.lit(1), F.ceil(e))
     with_level = lambda level: need((F.col("e") + near * level) / (2 * near))
-    # A partner of a level can have as much in common as its differences, no more.
-    open_to = F.filter("levels", lambda v: (v["level"] <= F.col("own")) & (with_level(v["level"]) <= F.least("k", v["most"])))
-    items = join_hot(parts.where("k > 0"), groups, ["c"], n_centres).withColumn("levels", F.transform(open_to, lambda v: v["level"]))
-    # No partner needs less in common than one of the lowest level: what lies behind is never met.
+
+    def levelled(parts: DataFrame) -> DataFrame:
+        """``parts`` of several components: their group's main one, own level, levels of partners at most as high."""
+        parts = parts.withColumn("own", F.floor(F.col("e") / near)).where("k > 0")
+        groups = parts.groupBy("c", "root").agg(F.count("*").alias("m")).groupBy("c").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1")
+        levels = parts.groupBy("c", "own").agg(F.max("k").alias("most")).groupBy("c").agg(F.collect_list(F.struct(F.col("own").alias("level"), "most")).alias("levels"))
+        groups = groups.join(levels, "c").select("c", "main", "levels")  # no more levels than a document has shingles
+        # A partner of a level has as much in common as it can share at most, no more.
+        open_to = F.filter("levels", lambda v: (v["level"] <= F.col("own")) & (with_level(v["level"]) <= F.least("k", v["most"])))
+        out = join_hot(parts, groups, ["c"], n_centres).withColumn("levels", F.transform(open_to, lambda v: v["level"]))
+        return out.withColumn("main", F.col("root") == F.col("main")).where(F.size("levels") > 0)
+
+    # What of the fronts is met in several components leaves few members: the others have no partner.
     front = (F.col("k") - with_level(F.array_min("levels")) + 1).cast("int")
-    items = items.where(F.size("levels") > 0).select("c", "doc", "root", "e", "k", "own", "levels", (F.col("root") == F.col("main")).alias("main"), F.posexplode(F.slice("d", F.lit(1), front)).alias("at", "item"))
-    common = items.groupBy("c", "item").agg(F.count("*").alias("f")).where("f > 1").select("c", "item")
-    shared = settle(items.withColumn("at", F.col("at") + 1).join(common, ["c", "item"]), "jj-items")
+    met = settle(levelled(renew(differ)).select("c", "doc", "root", F.explode(F.slice("d", F.lit(1), front)).alias("item")), "jj-front")
+    several = lambda rows: rows.groupBy("c", "item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("c", "item")
+    alive = settle(met.join(several(met), ["c", "item"]).select("c", "doc", "root").distinct(), "jj-alive")
+
+    # Of those, all that is shared between components counts; D keeps its order without the rest.
+    whole = settle(differences(alive, True).withColumn("e", excess), "jj-whole")
+    items = whole.select("c", "doc", "root", "e", "beyond", F.posexplode("d").alias("at", "item"))
+    items = items.join(several(items), ["c", "item"])
+    of = Window.partitionBy("c", "doc")
+    items = items.select("c", "doc", "root", "e", "item", F.row_number().over(of.orderBy("at")).alias("at"), F.count("*").over(of).alias("k"), F.sum((F.col("at") < F.col("beyond")).cast("long")).over(of).alias("first"))
+    items = settle(items, "jj-items")
+    parts = items.where("at = 1").select("c", "doc", "root", "e", "k", "first")
+    parts = settle(levelled(parts), "jj-parts")
+    shared = items.select("c", "doc", "item", "at").join(parts, ["c", "doc"])
     # Of two members one at least is outside the main component: its own members meet only others.
     sides = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    index = shared.where(F.col("at") <= F.col("k") - need(F.col("e") / near) + 1)
-    index = index.select("c", "item", F.col("own").alias("level"), F.explode(sides).alias("side"), F.col("doc").alias("b"), F.col("root").alias("root_b"), F.col("e").alias("e_b"), F.col("k").alias("k_b"), F.col("main").alias("main_b"))
-    probe = shared.select("c", "item", "at", "e", "k", "own", "root", F.col("main").alias("side"), F.col("doc").alias("a"), F.explode("levels").alias("level"))
+    index = items.join(parts.select("c", "doc", "own", "main"), ["c", "doc"]).where(F.col("at") <= F.col("k") - need(F.col("e") / near) + 1)
+    index = index.select("c", "item", F.col("own").alias("level"), F.explode(sides).alias("side"), F.col("doc").alias("b"), *[F.col(x).alias(f"{x}_b") for x in ("root", "e", "k", "first", "main")])
+    probe = shared.select("c", "item", "at", "e", "k", "first", "own", "root", F.col("main").alias("side"), F.col("doc").alias("a"), F.explode("levels").alias("level"))
     probe = probe.where((F.col("at") <= F.col("k") - with_level(F.col("level")) + 1) & (~F.col("side") | (F.col("level") < F.col("own"))))
-    meet = (F.col("root") != F.col("root_b")) & (F.col("e") + F.col("e_b") <= 2 * near * F.least("k", "k_b")) & ((F.col("level") < F.col("own")) | F.col("main_b") | (F.col("a") < F.col("b")))
-    pairs = probe.join(index, ["c", "item", "level", "side"]).where(meet).select("c", "a", "b").distinct()
-    left, right = (parts.select("c", F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("d").alias(f"d_{x}")) for x in "ab")
-    both = pairs.join(left, ["c", "a"]).join(right, ["c", "b"])
-    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    out = settle(tied.select("a", "b").unionByName(both.where(near * apart <= far * (F.col("n_a") + F.col("n_b"))).select("a", "b")), "jj-links")
-    discard(ids, centres, other, differ, tied, again, groups, shared)
+    most = F.least("first", "first_b") + F.least(F.col("k") - F.col("first"), F.col("k_b") - F.col("first_b"))
+    meet = (F.col("root") != F.col("root_b")) & (F.col("e") + F.col("e_b") <= 2 * near * most) & ((F.col("level") < F.col("own")) | F.col("main_b") | (F.col("a") < F.col("b")))
+    pairs = probe.join(index, ["c", "item", "level", "side"]).where(meet).select("a", "b").distinct()
+    pairs = settle(pairs, "jj-pairs")
+    links = _linked(pairs, keyed, words, percent)
+    out = settle(tied.select("a", "b").unionByName(links), "jj-links")
+    discard(centres, other, differ, tied, again, met, alive, whole, items, parts, pairs, links)
     return out
 
 
