@@ -35,22 +35,47 @@ SILENCE_MARKERS = ("[SILENT]", "SILENT", "NO_REPLY", "NO REPLY")
 SCORE_WEIGHTS = {"recency": 0.25, "frequency": 0.20, "user_boost": 0.20, "git_activity": 0.15, "project_relevance": 0.10, "similarity": 0.10}
 
 # Threats looked for, (id, scope, pattern); context includes all, strict includes both.
+# Patterns of single products' own files aren't among them; ``threats`` takes more.
 THREATS = (
     ("prompt_injection", "all", r"ignore\s+(?:\w+\s+)*(previous|all|above|prior)\s+(?:\w+\s+)*instructions"),
     ("sys_prompt_override", "all", r"system\s+prompt\s+override"),
     ("disregard_rules", "all", r"disregard\s+(?:\w+\s+)*(your|all|any)\s+(?:\w+\s+)*(instructions|rules|guidelines)"),
+    ("bypass_restrictions", "all", r"act\s+as\s+(if|though)\s+(?:\w+\s+)*you\s+(?:\w+\s+)*(have\s+no|don't\s+have)\s+(?:\w+\s+)*(restrictions|limits|rules)"),
     ("html_comment_injection", "all", r"<!--[^>]*(?:ignore|override|system|secret|hidden)[^>]*-->"),
+    ("hidden_div", "all", r"<\s*div\s+style\s*=\s*[\"'][\s\S]*?display\s*:\s*none"),
+    ("translate_execute", "all", r"translate\s+.*\s+into\s+.*\s+and\s+(execute|run|eval)"),
     ("deception_hide", "all", r"do\s+not\s+(?:\w+\s+)*tell\s+(?:\w+\s+)*the\s+user"),
     ("role_hijack", "context", r"you\s+are\s+(?:\w+\s+)*now\s+(?:a|an|the)\s+"),
     ("role_pretend", "context", r"pretend\s+(?:\w+\s+)*(you\s+are|to\s+be)\s+"),
     ("leak_system_prompt", "context", r"output\s+(?:\w+\s+)*(system|initial)\s+prompt"),
+    ("remove_filters", "context", r"(respond|answer|reply)\s+without\s+(?:\w+\s+)*(restrictions|limitations|filters|safety)"),
+    ("fake_update", "context", r"you\s+have\s+been\s+(?:\w+\s+)*(updated|upgraded|patched)\s+to"),
     ("identity_override", "context", r"\bname\s+yourself\s+\w+"),
+    ("c2_node_registration", "context", r"register\s+(as\s+)?a?\s*node"),
+    ("c2_heartbeat", "context", r"(heartbeat|beacon|check[\s\-]?in)\s+(to|with)\s+"),
+    ("c2_task_pull", "context", r"pull\s+(down\s+)?(?:new\s+)?task(?:ing|s)?\b"),
     ("c2_network_connect", "context", r"connect\s+to\s+the\s+network\b"),
+    ("forced_action", "context", r"you\s+must\s+(?:\w+\s+){0,3}(register|connect|report|beacon)\b"),
+    ("anti_forensic_oneliner", "context", r"only\s+use\s+one[\s\-]?liners?\b"),
+    ("anti_forensic_disk", "context", r"never\s+(?:\w+\s+)*(?:create|write)\s+(?:\w+\s+)*(?:script|file)\s+(?:\w+\s+)*disk"),
+    ("known_c2_framework", "context", r"\b(?:praxis|cobalt\s*strike|sliver|havoc|mythic|metasploit|brainworm)\b"),
+    ("c2_explicit", "context", r"\bc2\s+(?:server|channel|infrastructure|beacon)\b"),
     ("c2_explicit_long", "context", r"\bcommand\s+and\s+control\b"),
     ("exfil_curl", "all", r"curl\s+[^\n]*\$\{?\w*(KEY|TOKEN|SECRET|PASSWORD|CREDENTIAL|API)"),
     ("exfil_wget", "all", r"wget\s+[^\n]*\$\{?\w*(KEY|TOKEN|SECRET|PASSWORD|CREDENTIAL|API)"),
+    ("read_secrets", "all", r"cat\s+[^\n]*(\.env|credentials|\.netrc|\.pgpass|\.npmrc|\.pypirc)"),
+    ("send_to_url", "strict", r"(send|post|upload|transmit)\s+.*\s+(to|at)\s+https?://"),
+    ("context_exfil", "strict", r"(include|output|print|share)\s+(?:\w+\s+)*(conversation|chat\s+history|previous\s+messages|full\s+context|entire\s+context)"),
     ("ssh_backdoor", "strict", r"authorized_keys"),
     ("ssh_access", "strict", r"\$HOME/\.ssh|\~/\.ssh"),
+    ("agent_config_mod", "strict", r"(update|modify|edit|write|change|append|add\s+to)\s+.*(?:AGENTS\.md|CLAUDE\.md|\.cursorrules|\.clinerules)"),
     ("hardcoded_secret", "strict", r"(?:api[_-]?key|token|secret|password)\s*[=:]\s*[\"'][A-Za-z0-9+/=_-]{20,}"),
 )
+# Literals, in lower case, of which a text that the threat is found in holds one.
+THREAT_GUARDS = {
+    "translate_execute": ("translate",), "hidden_div": ("style",), "html_comment_injection": ("<!--",), "exfil_curl": ("curl",), "exfil_wget": ("wget",),
+    "read_secrets": (".env", "credentials", ".netrc", ".pgpass", ".npmrc", ".pypirc"), "send_to_url": ("http://", "https://"),
+    "agent_config_mod": ("agents.md", "claude.md", ".cursorrules", ".clinerules"), "known_c2_framework": ("praxis", "cobalt", "sliver", "havoc", "mythic", "metasploit", "brainworm"),
+    "hardcoded_secret": ("api", "token", "secret", "password"), "ssh_access": ("/.ssh",), "forced_action": ("must",), "c2_heartbeat": ("heartbeat", "beacon", "check"), "c2_task_pull": ("pull",),
+}
 INVISIBLE = "​‌‍⁠⁢⁣⁤﻿‪‫‬‭‮⁦⁧⁨⁩"

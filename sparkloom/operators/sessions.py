@@ -16,12 +16,15 @@ def around(messages: DataFrame, anchor: int, k: int) -> DataFrame:
     return placed.join(F.broadcast(at), "session_id").where(F.abs(F.col("rn") - F.col("at")) <= k).withColumn("offset", F.col("rn") - F.col("at"))
 
 
-def lineage(sessions: DataFrame, start: int, up: bool = True, depth: int = 100) -> DataFrame:
-    """id and depth of the ancestors (or descendants) of a session, itself first."""
+def lineage(sessions: DataFrame, start: int, up: bool = True) -> DataFrame:
+    """id and depth of the ancestors (or descendants) of a session, itself first.
+
+    A lineage has no more levels than there are sessions; a circle, which has, is an error.
+    """
     step = "s.id = t.parent_session_id" if up else "s.parent_session_id = t.id"
-    sql = f"""WITH RECURSIVE t(id, parent_session_id, depth) AS (
+    sql = f"""WITH RECURSIVE t(id, parent_session_id, depth) MAX RECURSION LEVEL {sessions.count() + 2} AS (
         SELECT id, parent_session_id, 0 FROM {{s0}} WHERE id = {int(start)}
-        UNION ALL SELECT s.id, s.parent_session_id, t.depth + 1 FROM {{s1}} s JOIN t ON {step} WHERE t.depth < {int(depth)})
+        UNION ALL SELECT s.id, s.parent_session_id, t.depth + 1 FROM {{s1}} s JOIN t ON {step})
         SELECT id, depth FROM t"""
     return sessions.sparkSession.sql(sql, s0=sessions, s1=sessions)
 

@@ -37,14 +37,15 @@ def claim_before_parent(t):
     return t.v_runs.join(links, "task_id").join(parents, "parent_id").where("started_on < created_on").select("id", "parent_id")
 
 
-@query("""WITH r AS (SELECT assignee, count(*) AS n FROM v_tasks WHERE status = 'running' AND id % 50 = 0 GROUP BY 1)
-SELECT id, q.assignee FROM (SELECT id, assignee, row_number() OVER (PARTITION BY assignee ORDER BY priority, id) AS rn FROM v_tasks WHERE status = 'ready') q LEFT JOIN r ON r.assignee = q.assignee WHERE rn + coalesce(n, 0) <= 40""")
+@query("""WITH r AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT id, q.assignee FROM (SELECT o_orderkey AS id, o_custkey AS assignee, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS rn FROM orders WHERE o_orderstatus = 'O') q LEFT JOIN r ON r.o_custkey = q.assignee WHERE rn + coalesce(n, 0) <= 5""")
 def dispatch_cap(t):
-    """Each assignee gets tasks up to a cap that those already running count towards."""
-    running = t.v_tasks.where("status = 'running' AND id % 50 = 0").groupBy("assignee").agg(F.count("*").alias("n"))
+    """Each assignee, here a customer, gets tasks up to a cap that all those already running count towards."""
+    tasks = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("assignee"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    running = tasks.where("status = 'P'").groupBy("assignee").agg(F.count("*").alias("n"))
     w = Window.partitionBy("assignee").orderBy("priority", "id")
-    ready = t.v_tasks.where("status = 'ready'").withColumn("rn", F.row_number().over(w)).where("rn <= 40")
-    return ready.join(F.broadcast(running), "assignee", "left").where(F.col("rn") + F.coalesce("n", F.lit(0)) <= 40).select("id", "assignee")
+    ready = tasks.where("status = 'O'").withColumn("rn", F.row_number().over(w)).where("rn <= 5")
+    return ready.join(running, "assignee", "left").where(F.col("rn") + F.coalesce("n", F.lit(0)) <= 5).select("id", "assignee")
 
 
 @query("""SELECT id, 'stuck' AS issue FROM v_tasks WHERE status = 'running' AND created_on < DATE '1996-06-01' UNION ALL SELECT task_id AS id, 'flapping' AS issue FROM v_runs GROUP BY task_id HAVING count(*) >= 6""")

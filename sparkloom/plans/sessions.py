@@ -102,9 +102,9 @@ def resume_target(t):
     return down.join(noted, "id", "left_semi").orderBy("depth", F.desc("started_at")).limit(1).select("id")
 
 
-@query("SELECT source, CASE WHEN count(*) FILTER (WHERE model = 'alpha') = 1 THEN max(CASE WHEN model = 'alpha' THEN id END) WHEN count(*) FILTER (WHERE model = 'alpha') > 1 THEN NULL ELSE arg_max(id, started_at) END AS target FROM v_sessions WHERE id < 6 GROUP BY source")
+@query("SELECT source, CASE WHEN count(*) FILTER (WHERE model = 'alpha') = 1 THEN max(CASE WHEN model = 'alpha' THEN id END) WHEN count(*) FILTER (WHERE model = 'alpha') > 1 THEN NULL ELSE arg_max(id, started_at) END AS target FROM v_sessions GROUP BY source")
 def mirror_target(t):
-    s = t.v_sessions.where("id < 6")
+    s = t.v_sessions
     exact = F.count_if(F.col("model") == "alpha")
     return s.groupBy("source").agg(F.when(exact == 1, F.max(F.when(F.col("model") == "alpha", F.col("id")))).when(exact > 1, F.lit(None)).otherwise(F.max_by("id", "started_at")).alias("target"))
 
@@ -308,9 +308,9 @@ def achievement_tiers(t):
     return t.v_messages.groupBy("session_id").agg(F.sum(F.length("content")).alias("metric")).select("session_id", "metric", tier.alias("tier"), after.otherwise(300).alias("next_at"))
 
 
-@query("SELECT lang AS origin, doc_id AS item FROM documents WHERE lang IN ('en', 'fr') UNION ALL SELECT 'bench' AS origin, item_id AS item FROM benchmark")
+@query("SELECT lang AS origin, doc_id AS item FROM documents UNION ALL SELECT 'bench' AS origin, item_id AS item FROM benchmark")
 def union_sources(t):
-    return t.documents.where(F.col("lang").isin("en", "fr")).select(F.col("lang").alias("origin"), F.col("doc_id").alias("item")).unionByName(t.benchmark.select(F.lit("bench").alias("origin"), F.col("item_id").alias("item")))
+    return t.documents.select(F.col("lang").alias("origin"), F.col("doc_id").alias("item")).unionByName(t.benchmark.select(F.lit("bench").alias("origin"), F.col("item_id").alias("item")))
 
 
 @query("SELECT conv_id % 3 AS run, array_to_string(list_sort(list(DISTINCT turn)), ',') AS completed FROM conversations GROUP BY 1")

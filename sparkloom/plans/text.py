@@ -172,25 +172,15 @@ def extractive_summary(t):
     return ranking.summary(t.documents, "doc_id", "text", 3)
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(sum(cos(x.v - y.v)) / 64, 5) AS similarity
-FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id % 50 = 0) x
-JOIN (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id % 50 = 1) y ON x.i = y.i
-JOIN embeddings a ON a.vec_id = x.vec_id JOIN embeddings b ON b.vec_id = y.vec_id GROUP BY a.vec_id, b.vec_id""")
-def hrr_similarity(t):
-    """Mean cosine of phase differences of a stated set of vectors against another."""
-    a = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("u"))
-    b = t.embeddings.where("vec_id % 50 = 1").select(F.col("vec_id").alias("b"), F.col("embedding").alias("v"))
-    near = F.aggregate(F.zip_with("u", "v", lambda x, y: F.cos(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / 64
-    return a.join(F.broadcast(b), F.lit(True)).select("a", "b", F.round(near, 5).alias("similarity"))
-
-
 #: Query vectors that are compared with a row at a time.
 QUERY_BLOCK = 64
 
 
-@query()
-def hrr_similarity_all(t):
-    """Every hundredth vector against all vectors; no SQL, as that of hrr_similarity is of another set.
+@query("""SELECT x.vec_id AS a, y.vec_id AS b, round(avg(cos(x.v - y.v)), 5) AS similarity
+FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id % 100 = 0) x
+JOIN (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) y ON x.i = y.i GROUP BY x.vec_id, y.vec_id""")
+def hrr_similarity(t):
+    """Mean cosine of phase differences of every hundredth vector and every vector.
 
     The query set grows with the table, so it is not broadcast by hint: its blocks meet the rows in a plain product.
     """

@@ -55,7 +55,7 @@ def test_entities_are_matched_over_all_parts(spark, sides):
 def test_query_vectors_are_compared_with_all_vectors(spark):
     vectors = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     want = {(a, b): np.mean(np.cos(u - v)) for a, u in vectors.items() if a % 100 == 0 for b, v in vectors.items()}
-    found = {(r.a, r.b): r.similarity for r in registry.QUERIES["hrr_similarity_all"](spark, SF).collect()}
+    found = {(r.a, r.b): r.similarity for r in registry.QUERIES["hrr_similarity"](spark, SF).collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-5 for k in want)
 
 
@@ -66,5 +66,5 @@ def test_every_order_gets_its_nearest_date(spark):
         days.setdefault(r.l_suppkey, []).append(r.day)
     events = orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day")).collect()
     want = sorted((r.o_orderkey, min(abs((r.day - d).days) for d in days[r.o_custkey])) for r in events if r.o_custkey in days)
-    found = registry.QUERIES["nearest_event_distance_all"](spark, SF).collect()
+    found = registry.QUERIES["nearest_event_distance"](spark, SF).collect()
     assert sorted((r.event_id, r.days) for r in found) == want and any(k % 20 for k, _ in want)
