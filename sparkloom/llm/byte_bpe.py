@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from .common import WHITE_SPACE, keyed_text, lean, text_slices
 
 #: Texts are replayed in slices of about so many characters.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: A task keeps the codes of so many distinct pieces at most, then starts anew.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
 #: A piece can end only before white space that follows something else.
 PIECES = f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+"
 

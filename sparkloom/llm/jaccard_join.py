@@ -48,9 +48,11 @@ WORDS, PERCENT = 3, 90
 SAMPLE, PAIR_COST = 4000, 4
 #: Spare segments: one for each so many differences, so that a band's lowest segments need no signature.
 SPARE = 4
+#: Rows of the batches that signatures go out in.
+OUT_ROWS = 20_000
 #: Signatures that a task groups at a time.
-CHUNK = 1_000_000
-KEPT_WORDS, KEPT_CENTRES = 200_000, 64
+CHUNK = 500_000
+KEPT_WORDS, KEPT_CENTRES = 100_000, 64
 #: Characters of centres' texts that are broadcast, at most.
 BROADCAST_TEXT = 16_000_000
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -222,7 +224,8 @@ def _signatures(texts: DataFrame, allocation: dict[int, float], words: int, perc
         many = np.repeat(n > 1, n)
         head = np.repeat(doc[first], n)[many]
         of = pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(head)])
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[sig[first], sig[many]]), of, pa.array(np.r_[doc[first], doc[many]])], ["sig", "of", "doc"])
+        out = pa.RecordBatch.from_arrays([pa.array(np.r_[sig[first], sig[many]]), of, pa.array(np.r_[doc[first], doc[many]])], ["sig", "of", "doc"])
+        return [out.slice(k, OUT_ROWS) for k in range(0, out.num_rows, OUT_ROWS)]
 
     def run(batches):
         shingle, signer = Shingler(words), Signer(percent, lambda b: allocation.get(b, 0.0))
@@ -236,10 +239,10 @@ def _signatures(texts: DataFrame, allocation: dict[int, float], words: int, perc
             docs.append((key, len(own)))
             size += len(own)
             if size >= chunk:
-                yield grouped(sigs, docs)
+                yield from grouped(sigs, docs)
                 sigs, docs, size = [], [], 0
         if size:
-            yield grouped(sigs, docs)
+            yield from grouped(sigs, docs)
 
     return texts.mapInArrow(lean(run), "sig long, of long, doc long")
 
@@ -445,18 +448,26 @@ def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: in
 
     # What of the fronts is met in several components leaves few members: the others have no partner.
     front = (F.col("k") - with_level(F.array_min("levels")) + 1).cast("int")
-    met = settle(levelled(renew(differ)).select("c", "doc", "root", F.explode(F.slice("d", F.lit(1), front)).alias("item")), "jj-front")
-    several = lambda rows: rows.groupBy("c", "item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("c", "item")
-    alive = settle(met.join(several(met), ["c", "item"]).select("c", "doc", "root").distinct(), "jj-alive")
-
-    # Of those, all that is shared between components counts; D keeps its order without the rest.
-    whole = settle(differences(alive, True).withColumn("e", excess), "jj-whole")
+    met = settle(levelled(renew(differ)).select("c", "doc", "root", F.posexplode(F.slice("d", F.lit(1), front)).alias("at", "item")), "jj-front")
+    several = lambda rows: rows.groupBy("c", "item").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("f")).where("low < high").select("c", "item", "f")
+    common = settle(several(met), "jj-common")
+    met_again = settle(met.join(common.select("c", "item"), ["c", "item"]), "jj-met")
+    alive = settle(met_again.select("c", "doc", "root").distinct(), "jj-alive")
+    # Groups whose members would meet more often than they have differences: D is counted whole there.
+    sizes = alive.join(differ.select("c", "doc", "k"), ["c", "doc"]).groupBy("c").agg(F.sum("k").alias("differences"))
+    meetings = common.groupBy("c").agg(F.sum(F.col("f") * F.col("f")).alias("meetings")).join(sizes, "c")
+    dense = settle(meetings.where("meetings > differences").select("c"), "jj-dense")
+    n_dense = dense.count()
+
+    # There all that is shared between components counts; D keeps its order without the rest.
+    whole = settle(differences(join_hot(alive, dense, ["c"], n_dense, "left_semi"), True).withColumn("e", excess), "jj-whole")
     items = whole.select("c", "doc", "root", "e", "beyond", F.posexplode("d").alias("at", "item"))
-    items = items.join(several(items), ["c", "item"])
+    items = items.join(several(items).select("c", "item"), ["c", "item"])
     of = Window.partitionBy("c", "doc")
     items = items.select("c", "doc", "root", "e", "item", F.row_number().over(of.orderBy("at")).alias("at"), F.count("*").over(of).alias("k"), F.sum((F.col("at") < F.col("beyond")).cast("long")).over(of).alias("first"))
-    items = settle(items, "jj-items")
-    parts = items.where("at = 1").select("c", "doc", "root", "e", "k", "first")
+    rest = join_hot(met_again, dense, ["c"], n_dense, "left_anti").join(differ.select("c", "doc", "e", "k", F.col("beyond").alias("first")), ["c", "doc"])
+    items = settle(items.unionByName(rest.withColumn("at", F.col("at") + 1)), "jj-items")
+    parts = items.select("c", "doc", "root", "e", "k", "first").dropDuplicates(["c", "doc"])
     parts = settle(levelled(parts), "jj-parts")
     shared = items.select("c", "doc", "item", "at").join(parts, ["c", "doc"])
     # Of two members one at least is outside the main component: its own members meet only others.
@@ -471,7 +482,7 @@ def _by_difference(members: DataFrame, keyed: DataFrame, words: int, percent: in
     pairs = settle(pairs, "jj-pairs")
     links = _linked(pairs, keyed, words, percent)
     out = settle(tied.select("a", "b").unionByName(links), "jj-links")
-    discard(centres, other, differ, tied, again, met, alive, whole, items, parts, pairs, links)
+    discard(centres, other, differ, tied, again, met, common, met_again, alive, dense, whole, items, parts, pairs, links)
     return out
 
 
