@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from .common import WHITE_SPACE, keyed_text, lean, text_slices
 
 #: Texts are replayed in slices of about so many characters.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 8_000_000
 #: A task keeps the codes of so many distinct pieces at most, then starts anew.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 400_000
 #: A piece can end only before white space that follows something else.
 PIECES = f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+"
 
@@ -178,6 +178,8 @@ class MergeReplay:
 class Codec:
     """Encodes and decodes texts; keeps the codes of distinct pieces within a bound."""
 
+    kept = KEPT_PIECES
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay = MergeReplay(ranks)
         self.word = regex.compile(pattern)
@@ -193,7 +195,7 @@ class Codec:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         cut = [self.piece.findall(text) for text in texts]
-        if len(self.codes) > KEPT_PIECES:
+        if len(self.codes) > self.kept:
             self.codes.clear()
         new = set().union(*cut).difference(self.codes) if cut else set()
         self._learn(new)
@@ -201,7 +203,7 @@ class Codec:
         return [b"".join(map(code, pieces)) for pieces in cut]
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.words) > KEPT_PIECES:
+        if len(self.words) > self.kept:
             self.words.clear()
         split: list[tuple[str, list[str]]] = []
         plain = [p for p in pieces if p[0] == " " and not p[-1].isspace()]
@@ -234,12 +236,13 @@ class Codec:
         return [data[a:b] for a, b in zip(last, last[1:], strict=False)]
 
 
-def _with_codec(spark, path: str, pattern: str, row, schema: str):
+def _with_codec(spark, path: str, pattern: str, row, schema: str, slice_chars: int = SLICE_CHARS, kept: int = KEPT_PIECES):
     ranks = spark.sparkContext.broadcast(load_ranks(path))  # the vocabulary: of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
-        for ids, texts in text_slices(batches, SLICE_CHARS):
+        codec.kept = kept
+        for ids, texts in text_slices(batches, slice_chars):
             columns = row(codec, ids, codec.encode(texts))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -272,8 +275,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """Encode and decode every text: n_tokens and digests of the ids and of the decoded bytes; the ids if wanted."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, slice_chars: int = SLICE_CHARS, kept: int = KEPT_PIECES) -> DataFrame:
+    """Encode and decode every text: n_tokens and digests of the ids and of the decoded bytes; the ids if wanted.
+
+    Shorter slices and fewer kept pieces take less memory and more time.
+    """
 
     def row(codec, ids, coded):
         digest = lambda data: hashlib.sha256(data).hexdigest()
@@ -286,4 +292,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
         return out | ({"ids": _lists(coded)} if with_ids else {})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return _with_codec(docs.sparkSession, path, pattern, row, schema)(keyed_text(docs))
+    return _with_codec(docs.sparkSession, path, pattern, row, schema, slice_chars, kept)(keyed_text(docs))
