@@ -7,7 +7,7 @@ is blocked where its distrust outweighs its trust ``RATIO`` times and is worth `
 pages or more for each page it has.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and
-is allowed; null html has no links; repeated pages count each; an empty table gives an empty
+is allowed; null html has no links, a tag that is not closed reaches to the next one's end; repeated pages count each; an empty table gives an empty
 one; other columns are ignored. Ranks that two hosts share need no tie-break: hosts are judged
 one by one.
 """
@@ -28,12 +28,14 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DAMPING, ROUNDS, CUT_EVERY = 0.85, 8, 4
+#: Rounds go on until those since the last cut have added less than ``TOLERANCE`` of the seeds to all scores.
+DAMPING, TOLERANCE, CUT_EVERY = 0.85, 1e-4, 4
 RATIO, SHARE = 4.0, 0.5
 #: A table of host verdicts of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_HOSTS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINKS = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
+#: A tag is taken whole before its link is looked for, so that a page is scanned once.
+ANCHOR, LINK = r"(?i)<a\s[^>]*", r"""(?i)^<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
 def _rest(url: Column) -> Column:
@@ -61,34 +63,39 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst and the number of links between different hosts."""
-    links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINKS), F.lit(1))).alias("link"))
+    tags = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANCHOR), F.lit(0))).alias("tag"))
+    links = tags.select("host", F.regexp_extract("tag", LINK, 1).alias("link")).where("link <> ''")
     absolute = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link"))
     links = links.select(F.col("host").alias("src"), host_of(absolute).alias("dst"))
     return links.where((F.col("dst") != "") & (F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """kind, host, score: PageRank from seeds (kind, host, seed) along edges (kind, src, dst, links).
 
     Scores are in units of the seeds, not of a total of one: a host's score is its seed and, for
     each path that leads to it, the path's share of the seed where it begins, damped by its length.
+    As they only grow, from round to round, the growth of their total is all that has changed.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("links").alias("total"))
     weighted = settle(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("total")).alias("w")), "url-edges")
-    seeds = settle(seeds, "url-seeds")
-    rank = seeds.select("kind", "host", F.col("seed").alias("score"))
+    home = settle(seeds, "url-seeds").select("kind", "host", F.col("seed").alias("score"))
+    rank = home
     if weighted.isEmpty():
         return rank
-    for k in range(1, rounds + 1):
-        sent = weighted.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("w") * F.col("score"))).alias("score"))
-        home = seeds.select("kind", "host", F.col("seed").alias("score"))
-        rank = sent.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % CUT_EVERY == 0 or k == rounds:
-            rank = settle(rank, "url-rank")
-    return rank
-
-
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = ROUNDS) -> DataFrame:
+    whole = last = rank.agg(F.sum("score")).first()[0] or 0.0
+    while True:
+        for _ in range(CUT_EVERY):
+            sent = weighted.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("w") * F.col("score"))).alias("score"))
+            rank = sent.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        rank = settle(rank, "url-rank")
+        total = rank.agg(F.sum("score")).first()[0] or 0.0
+        if total - last <= tolerance * whole:
+            return rank
+        last = total
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
@@ -99,7 +106,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, round
     seeds = hosts.select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / n_allow).alias("seed")).unionByName(hosts.select(F.lit("distrust").alias("kind"), "host", (F.col("blocked") / n_block).alias("seed"))).where("seed > 0")
     links = settle(host_edges(rows), "url-links")
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
-    rank = propagate(both, seeds, rounds).groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
+    rank = propagate(both, seeds, tolerance).groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
     trust, distrust = F.coalesce("trust", F.lit(0.0)) * n_allow, F.coalesce("distrust", F.lit(0.0)) * n_block
     bad = settle(hosts.join(rank, "host").where((distrust > RATIO * trust) & (distrust >= SHARE * F.col("pages"))).select("host", F.lit(True).alias("bad")), "url-bad")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad

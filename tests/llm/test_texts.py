@@ -211,3 +211,25 @@ def test_distrust_flows_to_what_links_to_blocked_hosts(spark):
     rows = [(0, "http://bad.org/es/1", ""), (1, "http://good.net/de/1", '<a href="http://friend.info/">'), page(2, "farm.info", "bad.org"), page(3, "friend.info"), page(4, "alone.info"), page(5, "second.info", "farm.info")]
     found = {r.host: r.verdict for r in url_filter.judge(frame(spark, rows, "page_id long, url string, html string")).collect()}
     assert found == {"bad.org": "block", "good.net": "allow", "farm.info": "block", "friend.info": "allow", "alone.info": "allow", "second.info": "block"}
+
+
+def test_propagation_goes_on_until_it_settles(spark):
+    """A chain of hosts longer than any fixed number of rounds, and a circle, against the sums themselves."""
+    link = lambda x: f"<a href='http://{x}/y'>"
+    rows = [(k, f"http://bad.org/es/{k}", "") for k in range(40)]
+    rows += [(100 + k, f"http://h{k}.info/x", link(f"h{k - 1}.info" if k else "bad.org")) for k in range(30)]
+    rows += [(200, "http://r0.info/", link("r1.info") + link("h0.info")), (201, "http://r1.info/", link("r0.info"))]
+    found = {r.host: r.verdict for r in url_filter.judge(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    share = [40 * 0.85 ** (k + 1) / (2 if k else 1) for k in range(30)]  # h1 and r0 link to h0, half each
+    assert [found[f"h{k}.info"] for k in range(30)] == ["block" if x >= 0.5 else "allow" for x in share]
+    scores = {"h0.info": 40 * 0.85, "r0.info": 0.0, "r1.info": 0.0}
+    for _ in range(200):
+        # h0 is linked to by h1 and r0 and sends its distrust to both in halves
+        scores["r0.info"], scores["r1.info"] = 0.85 * (scores["h0.info"] / 2 + scores["r1.info"]), 0.85 * scores["r0.info"]
+    assert {h: found[h] for h in ("r0.info", "r1.info")} == {h: "block" if scores[h] >= 0.5 else "allow" for h in ("r0.info", "r1.info")}
+
+
+def test_links_of_unclosed_tags_are_found_in_one_scan(spark):
+    rows = [(0, "http://bad.org/es/1", ""), (1, "http://one.info/", "<a " * 100_000), (2, "http://two.info/", "<A\nid=1 HREF = 'http://bad.org/y'>" + "<a " * 1000), (3, "http://three.info/", "<a href=>x</a><a id=2><a href=//bad.org/z>")]
+    found = {r.host: r.verdict for r in url_filter.judge(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert found == {"bad.org": "block", "one.info": "allow", "two.info": "block", "three.info": "block"}
