@@ -230,6 +230,36 @@ def test_propagation_goes_on_until_it_settles(spark):
 
 
 def test_links_of_unclosed_tags_are_found_in_one_scan(spark):
-    rows = [(0, "http://bad.org/es/1", ""), (1, "http://one.info/", "<a " * 100_000), (2, "http://two.info/", "<A\nid=1 HREF = 'http://bad.org/y'>" + "<a " * 1000), (3, "http://three.info/", "<a href=>x</a><a id=2><a href=//bad.org/z>")]
+    rows = [*[(10 + k, "http://bad.org/es/1", "") for k in range(4)], (1, "http://one.info/", "<a " * 100_000), (2, "http://two.info/", "<A\nid=1 HREF = 'http://bad.org/y'>" + "<a " * 1000), (3, "http://three.info/", "<a href=>x</a><a id=2><a href=//bad.org/z>")]
     found = {r.host: r.verdict for r in url_filter.judge(frame(spark, rows, "page_id long, url string, html string")).collect()}
     assert found == {"bad.org": "block", "one.info": "allow", "two.info": "block", "three.info": "block"}
+
+
+def test_blocks_of_a_benchmark_find_what_all_pairs_find(spark, monkeypatch):
+    """Paraphrases of items in several blocks, with common words left out of the index, against every passage and item."""
+    monkeypatch.setattr(decontamination, "BLOCK", 16)
+    rnd = random.Random(12)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(3000)]
+    word = lambda: vocab[int(3000 * rnd.random() ** 3)]
+    items = [(k, " ".join(word() for _ in range(rnd.randint(15, 45))) + "? " + " ".join(word() for _ in range(3))) for k in range(40)]
+    docs = []
+    for d in range(60):
+        body = [word() for _ in range(rnd.randint(30, 200))]
+        own = items[rnd.randrange(40)][1].split()
+        for _ in range(rnd.randint(0, len(own) // 2)):
+            own[rnd.randrange(len(own) - 3)] = word()
+        at = rnd.randrange(len(body))
+        docs.append((d, " ".join(body[:at] + own + body[at:])))
+
+    def held(text, item):
+        words, own, answer = decontamination.words_of(text), decontamination.words_of(item), decontamination.answer_of(item)
+        for start in range(0, len(words), decontamination.STEP):
+            around = words[max(0, start - len(own)) : start + decontamination.WINDOW + len(own)]
+            same = decontamination.lcs(own, around) / len(own)
+            if same >= decontamination.EXACT or same >= decontamination.LOOSE and " ".join(answer) in " ".join(around):
+                return True
+        return False
+
+    want = {(d, k) for d, t in docs for k, x in items if held(t, x)}
+    found = {(r.doc_id, r.item_id) for r in decontamination.find(frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")).collect()}
+    assert found <= want and len(want) >= 45 and len(found) >= 0.95 * len(want)
