@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontamination, jaccard_join, language_id, pii, quality_gam, quality_rules, toxicity, url_filter
+from . import centroids, decontamination, jaccard_join, language_id, pii, prefix_trie, quality_gam, quality_rules, repeats, toxicity, url_filter
 from .byte_bpe import round_trip
 from .common import table
 from .token_counts import count_tokens
@@ -53,13 +54,28 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    nodes = prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+    return nodes.withColumn("ends_sha256", F.lower(F.hex("ends"))).drop("ends")
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_suffix_dedup(spark, sf_dir):
+    cut = repeats.cut(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    return cut.select("doc_id", "n_bytes", removed, F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_token_counts, op3_pii, op4_language_id, op5_decontamination, op6_url_filter, op7_toxicity, op8_ngram_jaccard_join, op9_quality_gam, op10_quality_rules, pipeline)
+    for f in (op1_byte_bpe, op2_token_counts, op3_pii, op4_language_id, op5_decontamination, op6_url_filter, op7_toxicity, op8_ngram_jaccard_join, op9_quality_gam, op10_quality_rules, op11_prefix_trie, op12_centroid_clustering, op13_suffix_dedup, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {}
