@@ -65,15 +65,16 @@ def discard(*settled: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(rows: DataFrame, lookup: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, lookup: DataFrame, on: list[str], n: int | None, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with a ``lookup`` of ``n`` rows by keys that may hold a large share of ``rows``.
 
-    A small lookup is broadcast. For a larger one the rows of a key that has many are dealt by
-    all their columns to parts of ``HOT_ROWS``, and the key's lookup rows go to each of them.
+    A small lookup is broadcast, but not where ``n`` is None. For others the rows of a key that has many are dealt
+    by all their columns to parts of ``HOT_ROWS``, and the key's lookup rows go to each of them. ``counts`` holds
+    ``_n``, the rows of each key of the lookup, where the caller has counted them.
     """
-    if n <= BROADCAST_IDS:
+    if n is not None and n <= BROADCAST_IDS:
         return rows.join(F.broadcast(lookup), on, how)
-    hot = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = (rows.groupBy(*on).agg(F.count("*").alias("_n")) if counts is None else counts).where(F.col("_n") > HOT_ROWS)
     hot = settle(hot.select(*on, F.ceil(F.col("_n") / HOT_ROWS).alias("_parts")), "hot")
     known = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
     part = F.coalesce(F.pmod(F.xxhash64(*rows.columns), "_parts"), F.lit(0).cast("long"))

@@ -7,7 +7,7 @@ which depends on the window's bytes alone. Windows side by side mostly share it
 digits reach out from that piece: the bytes that ``step`` neighbouring windows have in common, then all bytes.
 A row all of whose windows are found elsewhere in the same row of bytes is settled at once, and one of each
 sort of settled rows stays as a witness for what is still open. Groups are counted by aggregation, with sums
-made in the tasks, and no group is gathered in one place.
+made in the tasks, and no group is gathered in one place. Nothing is broadcast but the list of hot keys.
 
 Defined cases: a null text is empty; texts shorter than the threshold keep all their bytes; a null or repeated
 doc_id is a document like others, since texts are known by their MD5 here; copies of a text repeat all of it.
@@ -129,9 +129,9 @@ def _first_pass(threshold: int, piece: int, slice_bytes: int):
 
 def _open(classes: DataFrame) -> DataFrame:
     """One row of each class of equal rows in a group that has an unsettled one and another."""
-    groups = classes.groupBy("core").agg(F.count("*").alias("sorts"), F.min("n").alias("least")).where("sorts > 1 and least = 1").select("core")
+    groups = classes.groupBy("core").agg(F.count("*").alias("_n"), F.min("n").alias("least")).where("_n > 1 and least = 1").select("core", "_n")
     groups = settle(groups, "repeats-open")
-    out = join_hot(classes, groups, ["core"], groups.count()).select("one.*", F.least("n", F.lit(2)).cast("long").alias("weight"))
+    out = join_hot(classes, groups.select("core"), ["core"], None, counts=groups).select("one.*", F.least("n", F.lit(2)).cast("long").alias("weight"))
     out = settle(out, "repeats-next")
     discard(groups)
     return out
@@ -139,8 +139,8 @@ def _open(classes: DataFrame) -> DataFrame:
 
 def _settled(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows whose class has another one."""
-    known = classes.where("n > 1").select("full")
-    return join_hot(rows, known, ["full"], known.count()).select("text_key", "lo", "windows")
+    known = classes.where("n > 1").select("full", F.col("n").alias("_n"))
+    return settle(join_hot(rows.drop("core", "weight"), known.select("full"), ["full"], None, counts=known).select("text_key", "lo", "windows"), "repeats-found")
 
 
 def _segments(docs: DataFrame, asked: DataFrame, threshold: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _segments(docs: DataFrame, asked: DataFrame, threshold: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["text_key", "base", "windows", "at", "weight", "bytes"])
 
-    rows = join_hot(docs, lists, ["text_key"], lists.count()).select("text_key", "bytes", "asked")
+    rows = join_hot(docs, lists, ["text_key"], None).select("text_key", "bytes", "asked")
     out = rows.mapInArrow(lean(cut), "text_key binary, base long, windows int, at int, weight long, bytes binary")
     out = settle(out.dropDuplicates(["text_key", "base"]), "repeats-segments")
     discard(lists)
@@ -213,44 +213,45 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, piece: int | None = No
     step = math.isqrt(threshold - piece) + 1
     rows = keyed_bytes(docs).where(F.octet_length("bytes") >= threshold).select("text_key", "bytes")
     found = settle(rows.mapInArrow(lean(_first_pass(threshold, piece, slice_bytes)), ROWS), "repeats-first")
-    spans, gone = [found.where("core is null").select("text_key", "lo", "windows")], []
-
+    spans = [settle(found.where("core is null").select("text_key", "lo", "windows"), "repeats-found")]
     digits = found.where("core is not null")
-    twice = settle(digits.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select("core"), "repeats-cores")
-    alive = settle(join_hot(digits, twice, ["core"], twice.count()), "repeats-alive")
+    twice = settle(digits.groupBy("core").agg(F.sum("weight").alias("_n")).where("_n > 1"), "repeats-cores")
+    alive = settle(join_hot(digits, twice.select("core"), ["core"], None, counts=twice), "repeats-alive")
+    discard(found, twice)
     classes = settle(alive.groupBy("core", "full").agg(F.sum("weight").alias("n"), F.min(F.struct("text_key", "lo", "windows", "at")).alias("one")), "repeats-classes")
     spans.append(_settled(alive, classes))
+    discard(alive)
     asked = _open(classes)
-    gone += [twice, alive, classes, asked]
+    discard(classes)
 
     segments = _segments(rows, asked, threshold)
+    discard(asked)
     cells = settle(segments.mapInArrow(_second_pass(threshold, piece, step), "text_key binary, base long, lo long, windows int, core long, full binary, weight long"), "repeats-cells")
     parts = settle(cells.groupBy("core", "full").agg(F.sum("weight").alias("n"), F.min(F.struct("text_key", "base", "lo", "windows")).alias("one")), "repeats-parts")
     spans.append(_settled(cells, parts))
     left = _open(parts)
-    gone += [segments, cells, parts, left]
+    discard(cells, parts)
 
     lists = left.groupBy("text_key", "base").agg(F.collect_list(F.struct("lo", "windows", "weight")).alias("asked"))
     windows = segments.select("text_key", "base", "bytes").join(lists, ["text_key", "base"])
     windows = settle(windows.mapInArrow(_last_pass(threshold), "text_key binary, lo long, windows int, full binary, weight long"), "repeats-windows")
-    same = windows.groupBy("full").agg(F.sum("weight").alias("n"))
-    same = settle(same.where("n > 1"), "repeats-same")
+    discard(segments, left)
+    same = settle(windows.groupBy("full").agg(F.sum("weight").alias("n")).where("n > 1"), "repeats-same")
     spans.append(_settled(windows, same))
-    gone += [windows, same, found]
+    discard(windows, same)
 
     every = spans[0]
     for some in spans[1:]:
         every = every.unionByName(some)
     every = every.distinct().groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct(F.col("lo").alias("start"), (F.col("lo") + F.col("windows") - 1 + threshold).alias("stop")))).alias("spans"))
     out = settle(every, "repeats-spans")
-    discard(*gone)
+    discard(*spans)
     return out
 
 
 def cut(docs: DataFrame, threshold: int = THRESHOLD, **how) -> DataFrame:
     """doc_id, n_bytes, removed (the maximal spans of bytes that repeated strings cover) and kept (the other bytes)."""
     spans = repeated(docs, threshold, **how)
-    size = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
 
     def keep(batches):
         for batch in batches:
@@ -270,6 +271,5 @@ def cut(docs: DataFrame, threshold: int = THRESHOLD, **how) -> DataFrame:
                 [batch.column(0), pa.array([len(x) for x in batch.column(1).to_pylist()], long), pa.array(removed, pa.list_(pa.struct([("start", long), ("stop", long)]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"]
             )
 
-    # A span counts as a tenth of a row of the lookup, so that the bytes of what is broadcast are bounded too.
-    rows = join_hot(keyed_bytes(docs), spans, ["text_key"], max(size[0], (size[1] or 0) // 4), "left")
+    rows = join_hot(keyed_bytes(docs), spans, ["text_key"], None, "left")
     return rows.select("doc_id", "bytes", "spans").mapInArrow(lean(keep), "doc_id long, n_bytes long, removed array<struct<start: long, stop: long>>, kept binary")
