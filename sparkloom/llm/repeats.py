@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_hot, lean, settle, short_batches
+from .common import HOT_ROWS, discard, join_hot, lean, settle, short_batches
 
 THRESHOLD = 200
 PIECE = 57
@@ -127,25 +127,36 @@ def _first_pass(threshold: int, piece: int, slice_bytes: int):
     return run
 
 
+def _dealt(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with a lookup. Both carry ``most``, which no key has more rows than; rows of a key that may have many go to parts."""
+    parts = F.ceil(F.col("most") / HOT_ROWS)
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts))
+    copies = lookup.select(key, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    return rows.join(copies, [key, "_part"]).drop("_part")
+
+
+def _classes(rows: DataFrame, *names: str) -> DataFrame:
+    """How many rows are equal, and one of them, by their digits."""
+    return settle(rows.groupBy("core", "full").agg(F.sum("weight").alias("n"), F.max("most").alias("most"), F.min(F.struct("text_key", *names)).alias("one")), "repeats-classes")
+
+
 def _open(classes: DataFrame) -> DataFrame:
     """One row of each class of equal rows in a group that has an unsettled one and another."""
-    groups = classes.groupBy("core").agg(F.count("*").alias("_n"), F.min("n").alias("least")).where("_n > 1 and least = 1").select("core", "_n")
-    groups = settle(groups, "repeats-open")
-    out = join_hot(classes, groups.select("core"), ["core"], None, counts=groups).select("one.*", F.least("n", F.lit(2)).cast("long").alias("weight"))
-    out = settle(out, "repeats-next")
+    groups = classes.groupBy("core").agg(F.count("*").alias("sorts"), F.min("n").alias("least"), F.max("most").alias("most")).where("sorts > 1 and least = 1")
+    groups = settle(groups.select("core", "most"), "repeats-open")
+    out = settle(_dealt(classes, groups, "core").select("one.*", F.least("n", F.lit(2)).cast("long").alias("weight"), "most"), "repeats-next")
     discard(groups)
     return out
 
 
 def _settled(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows whose class has another one."""
-    known = classes.where("n > 1").select("full", F.col("n").alias("_n"))
-    return settle(join_hot(rows.drop("core", "weight"), known.select("full"), ["full"], None, counts=known).select("text_key", "lo", "windows"), "repeats-found")
+    return settle(_dealt(rows.select("text_key", "lo", "windows", "full", "most"), classes.where("n > 1"), "full").select("text_key", "lo", "windows"), "repeats-found")
 
 
 def _segments(docs: DataFrame, asked: DataFrame, threshold: int) -> DataFrame:
     """The bytes of the asked rows of windows, from one copy of each text."""
-    lists = settle(asked.groupBy("text_key").agg(F.collect_list(F.struct("lo", "windows", "at", "weight")).alias("asked")), "repeats-asked")
+    lists = settle(asked.groupBy("text_key").agg(F.collect_list(F.struct("lo", "windows", "at", "weight", "most")).alias("asked")), "repeats-asked")
 
     def cut(batches):
         seen = set()
@@ -154,12 +165,12 @@ def _segments(docs: DataFrame, asked: DataFrame, threshold: int) -> DataFrame:
             for key, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key not in seen:
                     seen.add(key)
-                    rows += [(key, p["lo"], p["windows"], p["at"], p["weight"], text[p["lo"] : p["lo"] + p["windows"] - 1 + threshold]) for p in places]
+                    rows += [(key, p["lo"], p["windows"], p["at"], p["weight"], p["most"], text[p["lo"] : p["lo"] + p["windows"] - 1 + threshold]) for p in places]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["text_key", "base", "windows", "at", "weight", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["text_key", "base", "windows", "at", "weight", "most", "bytes"])
 
     rows = join_hot(docs, lists, ["text_key"], None).select("text_key", "bytes", "asked")
-    out = rows.mapInArrow(lean(cut), "text_key binary, base long, windows int, at int, weight long, bytes binary")
+    out = rows.mapInArrow(lean(cut), "text_key binary, base long, windows int, at int, weight long, most long, bytes binary")
     out = settle(out.dropDuplicates(["text_key", "base"]), "repeats-segments")
     discard(lists)
     return out
@@ -172,15 +183,15 @@ def _second_pass(threshold: int, piece: int, step: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for key, base, windows, at, weight, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, base, windows, at, weight, most, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for cell in range((at - windows + 1) // step, at // step + 1):
                     near, far = cell * step, min(cell * step + step - 1, widest)
                     first, last = max(0, at - far), min(windows - 1, at - near)
                     core = data[at - near : at - far + threshold]
-                    rows.append((key, base, base + first, last - first + 1, _short(core), _digest(data[first : last + threshold]), weight))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
+                    rows.append((key, base, base + first, last - first + 1, _short(core), _digest(data[first : last + threshold]), weight, most))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["text_key", "base", "lo", "windows", "core", "full", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["text_key", "base", "lo", "windows", "core", "full", "weight", "most"])
 
     return run
 
@@ -193,9 +204,9 @@ def _last_pass(threshold: int):
             rows = []
             for key, base, data, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for x in asked:
-                    rows += [(key, x["lo"] + k, 1, _digest(data[x["lo"] - base + k : x["lo"] - base + k + threshold]), x["weight"]) for k in range(x["windows"])]
+                    rows += [(key, x["lo"] + k, 1, _digest(data[x["lo"] - base + k : x["lo"] - base + k + threshold]), x["weight"], x["most"]) for k in range(x["windows"])]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["text_key", "lo", "windows", "full", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["text_key", "lo", "windows", "full", "weight", "most"])
 
     return run
 
@@ -215,10 +226,10 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, piece: int | None = No
     found = settle(rows.mapInArrow(lean(_first_pass(threshold, piece, slice_bytes)), ROWS), "repeats-first")
     spans = [settle(found.where("core is null").select("text_key", "lo", "windows"), "repeats-found")]
     digits = found.where("core is not null")
-    twice = settle(digits.groupBy("core").agg(F.sum("weight").alias("_n")).where("_n > 1"), "repeats-cores")
-    alive = settle(join_hot(digits, twice.select("core"), ["core"], None, counts=twice), "repeats-alive")
+    twice = settle(digits.groupBy("core").agg(F.sum("weight").alias("most")).where("most > 1"), "repeats-cores")
+    alive = settle(join_hot(digits, twice, ["core"], None, counts=twice.select("core", F.col("most").alias("_n"))), "repeats-alive")
     discard(found, twice)
-    classes = settle(alive.groupBy("core", "full").agg(F.sum("weight").alias("n"), F.min(F.struct("text_key", "lo", "windows", "at")).alias("one")), "repeats-classes")
+    classes = _classes(alive, "lo", "windows", "at")
     spans.append(_settled(alive, classes))
     discard(alive)
     asked = _open(classes)
@@ -226,17 +237,17 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, piece: int | None = No
 
     segments = _segments(rows, asked, threshold)
     discard(asked)
-    cells = settle(segments.mapInArrow(_second_pass(threshold, piece, step), "text_key binary, base long, lo long, windows int, core long, full binary, weight long"), "repeats-cells")
-    parts = settle(cells.groupBy("core", "full").agg(F.sum("weight").alias("n"), F.min(F.struct("text_key", "base", "lo", "windows")).alias("one")), "repeats-parts")
+    cells = settle(segments.mapInArrow(_second_pass(threshold, piece, step), "text_key binary, base long, lo long, windows int, core long, full binary, weight long, most long"), "repeats-cells")
+    parts = _classes(cells, "base", "lo", "windows")
     spans.append(_settled(cells, parts))
     left = _open(parts)
     discard(cells, parts)
 
-    lists = left.groupBy("text_key", "base").agg(F.collect_list(F.struct("lo", "windows", "weight")).alias("asked"))
+    lists = left.groupBy("text_key", "base").agg(F.collect_list(F.struct("lo", "windows", "weight", "most")).alias("asked"))
     windows = segments.select("text_key", "base", "bytes").join(lists, ["text_key", "base"])
-    windows = settle(windows.mapInArrow(_last_pass(threshold), "text_key binary, lo long, windows int, full binary, weight long"), "repeats-windows")
+    windows = settle(windows.mapInArrow(_last_pass(threshold), "text_key binary, lo long, windows int, full binary, weight long, most long"), "repeats-windows")
     discard(segments, left)
-    same = settle(windows.groupBy("full").agg(F.sum("weight").alias("n")).where("n > 1"), "repeats-same")
+    same = settle(windows.groupBy("full").agg(F.sum("weight").alias("n"), F.max("most").alias("most")).where("n > 1"), "repeats-same")
     spans.append(_settled(windows, same))
     discard(windows, same)
 
