@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_hot, settle
 
 RULES = (
     ("block", "com", "/en/"),
@@ -28,8 +28,9 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Rounds go on until those since the last cut have added less than ``TOLERANCE`` of the seeds to all scores.
-DAMPING, TOLERANCE, CUT_EVERY = 0.85, 1e-4, 4
+#: Scores are in pages. Rounds go on until those since the last cut have added less than ``TOLERANCE`` pages to all
+#: scores together; each round sends on ``DAMPING`` of what the one before it did, so no score has that much to come.
+DAMPING, TOLERANCE, CUT_EVERY = 0.85, 1e-3, 4
 RATIO, SHARE = 4.0, 0.5
 #: A table of host verdicts of at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_HOSTS = 100_000
@@ -73,24 +74,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """kind, host, score: PageRank from seeds (kind, host, seed) along edges (kind, src, dst, links).
 
-    Scores are in units of the seeds, not of a total of one: a host's score is its seed and, for
-    each path that leads to it, the path's share of the seed where it begins, damped by its length.
-    As they only grow, from round to round, the growth of their total is all that has changed.
+    A host's score is its seed and, for each path that leads to it, the path's share of the seed where it begins,
+    damped by its length. Scores only grow, so the growth of their total is all that has changed. The edges of a
+    host with very many are dealt to parts.
     """
-    out = edges.groupBy("kind", "src").agg(F.sum("links").alias("total"))
-    weighted = settle(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("total")).alias("w")), "url-edges")
-    home = settle(seeds, "url-seeds").select("kind", "host", F.col("seed").alias("score"))
+    out = settle(edges.groupBy("kind", "src").agg(F.sum("links").alias("total"), F.count("*").alias("_n")), "url-out")
+    weighted = join_hot(edges, out.drop("_n"), ["kind", "src"], None, counts=out.drop("total"))
+    weighted = settle(weighted.select("kind", "src", "dst", (F.col("links") / F.col("total")).alias("w")), "url-edges")
+    home = settle(seeds, "url-seeds").select("kind", "host", F.col("seed").cast("double").alias("score"))
     rank = home
     if weighted.isEmpty():
         return rank
-    whole = last = rank.agg(F.sum("score")).first()[0] or 0.0
+    degrees = out.drop("total")
+    last = rank.agg(F.sum("score")).first()[0] or 0.0
     while True:
         for _ in range(CUT_EVERY):
-            sent = weighted.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("w") * F.col("score"))).alias("score"))
+            senders = rank.withColumnRenamed("host", "src")
+            sent = join_hot(weighted, senders, ["kind", "src"], None, counts=degrees).groupBy("kind", F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("w") * F.col("score"))).alias("score"))
             rank = sent.unionByName(home).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         rank = settle(rank, "url-rank")
         total = rank.agg(F.sum("score")).first()[0] or 0.0
-        if total - last <= tolerance * whole:
+        if total - last <= max(tolerance, 1e-12 * total):
             return rank
         last = total
 
@@ -101,14 +105,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, toler
     rows = pages.select(F.col("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
     judged = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     hosts = settle(judged.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("r.verdict") == "allow").alias("allowed"), F.count_if(F.col("r.verdict") == "block").alias("blocked")), "url-hosts")
-    totals = hosts.agg(F.sum("allowed").alias("allow"), F.sum("blocked").alias("block")).first()
-    n_allow, n_block = float(totals["allow"] or 0) or 1.0, float(totals["block"] or 0) or 1.0
-    seeds = hosts.select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / n_allow).alias("seed")).unionByName(hosts.select(F.lit("distrust").alias("kind"), "host", (F.col("blocked") / n_block).alias("seed"))).where("seed > 0")
+    seeds = hosts.select(F.lit("trust").alias("kind"), "host", F.col("allowed").alias("seed")).unionByName(hosts.select(F.lit("distrust").alias("kind"), "host", F.col("blocked").alias("seed"))).where("seed > 0")
     links = settle(host_edges(rows), "url-links")
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
     rank = propagate(both, seeds, tolerance).groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
-    trust, distrust = F.coalesce("trust", F.lit(0.0)) * n_allow, F.coalesce("distrust", F.lit(0.0)) * n_block
+    trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     bad = settle(hosts.join(rank, "host").where((distrust > RATIO * trust) & (distrust >= SHARE * F.col("pages"))).select("host", F.lit(True).alias("bad")), "url-bad")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
+    n = bad.count()
     method = F.when(F.col("bad"), "block").otherwise("allow")
-    return judged.drop("html").join(bad, "host", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), method).alias("verdict"))
+    pages_of = hosts.select("host", F.col("pages").alias("_n"))
+    return join_hot(judged.drop("html"), bad, ["host"], n if n <= BROADCAST_HOSTS else None, "left", counts=pages_of).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), method).alias("verdict"))
