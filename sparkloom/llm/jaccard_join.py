@@ -527,13 +527,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int
 
 
 def one_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of linked ones, with all its columns."""
-    named = settle(join(docs, words, percent), "jj-named")
-    gone = settle(named.where("component_id != doc_id").select("doc_id").distinct(), "jj-gone")
-    twice = settle(named.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jj-twice")
+    """One document of each group of linked ones, with all its columns.
+
+    Rows that share a doc_id are judged by their texts, each as a document of its own; of equal ones one row stays.
+    Rows without a doc_id all stay.
+    """
     near = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    left = docs.join(near(gone), "doc_id", "left_anti")
-    once = left.join(near(twice), "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns)))
-    again = left.join(near(twice), "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    twice = settle(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jj-twice")
+    shared = near(twice.withColumn("_shared", F.lit(True)))
+    # Another number stands for such a row's id and text; it is below zero, where few ids are.
+    own = F.when(F.col("_shared"), F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("doc_id"))
+    rows = docs.join(shared, "doc_id", "left").withColumn("_node", own)
+    named = settle(join(rows.select(F.col("_node").alias("doc_id"), "text"), words, percent), "jj-named")
+    gone = settle(named.where("component_id != doc_id").select(F.col("doc_id").alias("_node")).distinct(), "jj-gone")
+    left = rows.join(near(gone), "_node", "left_anti")
+    once = left.where("_shared is null").select(*docs.columns)
+    again = left.where("_shared").select("_node", F.struct(*docs.columns).alias("_row"))
+    again = again.groupBy("_node").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return once.unionByName(again.select("_row.*").select(*docs.columns))

@@ -117,3 +117,14 @@ def test_a_hot_key_is_dealt_to_parts(spark, monkeypatch):
     want = [(None, 1, None)] + [((k % 2 if k < 90 else k), k, (-(k % 2) if k < 90 else -k if k < 95 else None)) for k in range(100)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert common.join_hot(rows, lookup, ["key"], 95).count() == 95
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a, "x"), (9, a, "y"), (9, b, "y"), (9, b, "y"), (12, c, "z"), (15, b, "q"), (None, c, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = jaccard_join.one_each(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sum(t == b for _, t in found) == 1 and sum(t == a for _, t in found) == 1
+    assert (12, c) in found and (None, c) in found and len(found) == 4

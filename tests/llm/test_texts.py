@@ -175,7 +175,7 @@ def test_benchmark_items_are_found(spark):
     assert found == want | {(None, 0)}
     kept = decontamination.clean(table, bench)
     assert kept.columns == table.columns
-    assert {r.doc_id for r in kept.collect()} == ({d for d, _ in docs} - {d for d, _ in want})
+    assert {r.doc_id for r in kept.collect()} == ({d for d, _ in docs} - {d for d, _ in want} - {None})
     assert decontamination.find(table.limit(0), bench).count() == 0 and decontamination.find(table, bench.limit(0)).count() == 0
 
 
@@ -263,3 +263,28 @@ def test_blocks_of_a_benchmark_find_what_all_pairs_find(spark, monkeypatch):
     want = {(d, k) for d, t in docs for k, x in items if held(t, x)}
     found = {(r.doc_id, r.item_id) for r in decontamination.find(frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")).collect()}
     assert found <= want and len(want) >= 45 and len(found) >= 0.95 * len(want)
+
+
+def test_distrust_reaches_the_end_of_a_long_chain_from_many_seeds(spark, monkeypatch):
+    """What stops the rounds doesn't depend on the number of seeds; hubs' edges are dealt to parts."""
+    from sparkloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    n, chain = 20_000, 75
+    pages = spark.range(n).selectExpr("id AS page_id", "concat('http://bad.org/es/', id) AS url", "'' AS html")
+    link = lambda x: f"<a href='http://{x}/y'>"
+    rows = [(n + k, f"http://h{k}.info/x", link(f"h{k - 1}.info" if k else "bad.org")) for k in range(chain)]
+    rows += [(n + 1000 + k, f"http://s{k}.info/", link("hub.info")) for k in range(40)] + [(n + 2000, "http://hub.info/", "".join(link(f"t{k}.info") for k in range(40)) + link("bad.org"))]
+    found = {r.host: r.verdict for r in url_filter.judge(pages.unionByName(frame(spark, rows, "page_id long, url string, html string"))).where("host <> 'bad.org'").collect()}
+    # bad.org is linked to by h0 and the hub; each other host of the chain by the next one alone
+    share = [n / 2 * 0.85 ** (k + 1) for k in range(chain)]
+    assert [found[f"h{k}.info"] for k in range(chain)] == ["block" if x >= 0.5 else "allow" for x in share]
+    assert found["hub.info"] == "block" and found["s7.info"] == "block"
+
+
+def test_contaminated_rows_without_an_own_id_go(spark):
+    item = "which of the nine winds carried the copper kettle over the frozen lake at dawn. the answer is the seventh quiet wind."
+    rows = [(None, "before " + item + " after"), (None, "a clean text of its own"), (4, item), (4, "another clean text with the same id"), (5, None), (6, "")]
+    docs = frame(spark, rows, "doc_id long, text string")
+    kept = decontamination.clean(docs, frame(spark, [(1, item)], "item_id long, text string"))
+    assert sorted((r.text or "") for r in kept.collect()) == ["", "", "a clean text of its own", "another clean text with the same id"]
