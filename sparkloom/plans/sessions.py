@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import lineage
 from ..operators import sessions as ops
 from .base import query
 
@@ -115,7 +116,21 @@ def search_merge(t):
     """Hits by id come before hits by content; one hit for each lineage root."""
     by_id = t.v_sessions.where(F.col("id").cast("string").startswith("1")).select("id", F.lit(0).alias("prio"))
     by_text = t.v_messages.where(F.col("content").contains("the")).select(F.col("session_id").alias("id"), F.lit(1).alias("prio"))
-    return by_id.unionByName(by_text).groupBy((F.col("id") - F.col("id") % 5).alias("root")).agg(F.min_by("id", F.struct("prio", "id")).alias("hit"), F.min("prio").alias("prio"))
+    hits = by_id.unionByName(by_text.distinct()).join(lineage.roots(t.v_sessions).select("id", "root"), "id")
+    return hits.groupBy("root").agg(F.min_by("id", F.struct("prio", "id")).alias("hit"), F.min("prio").alias("prio"))
+
+
+@query("WITH RECURSIVE t(id, root, depth) AS (SELECT id, id, 0 FROM v_sessions WHERE parent_session_id IS NULL UNION ALL SELECT s.id, t.root, t.depth + 1 FROM v_sessions s JOIN t ON s.parent_session_id = t.id) SELECT id, root, CAST(depth AS BIGINT) AS depth FROM t")
+def session_roots(t):
+    return lineage.roots(t.v_sessions)
+
+
+@query("""WITH RECURSIVE said AS (SELECT DISTINCT session_id AS id FROM v_messages WHERE role = 'system' AND session_id % 3 = 0), child AS (SELECT parent_session_id AS id, arg_max(id, started_at) AS child FROM v_sessions WHERE parent_session_id IS NOT NULL GROUP BY 1),
+w(id, here, d) AS (SELECT id, id, 0 FROM v_sessions UNION ALL SELECT w.id, child.child, d + 1 FROM w JOIN child ON child.id = w.here WHERE w.here NOT IN (SELECT id FROM said))
+SELECT id, coalesce(max(CASE WHEN here IN (SELECT id FROM said) THEN here END), id) AS target FROM w GROUP BY id""")
+def resume_targets(t):
+    """Where each session resumes: on its way by newest children, the first with messages of note, else itself."""
+    return lineage.resume_targets(t.v_sessions, t.v_messages.where("role = 'system' AND session_id % 3 = 0").select(F.col("session_id").alias("id")))
 
 
 @query("SELECT id, input_tokens + output_tokens AS tokens FROM v_sessions ORDER BY 2 DESC, 1 LIMIT 10")
