@@ -72,12 +72,48 @@ def is_silence(text: Column) -> Column:
 _FILLER = r"\s+(?:\w+\s+)*"
 
 
+#: Between two key words: white space, anything on one line, white space. White space but a line break.
+_GAP, _BLANK = r"\s+.*\s+", r"[^\S\n]"
+
+
+def _gapped(*keys: str) -> list[str]:
+    """Key words with gaps between them: of all places of a key on a line only the first, or the one that ends the line, can matter.
+
+    From a key the next one is later on its line or first on the next line with words; from a key that ends its line it
+    is anywhere on the next such line, or first on the one after that. Each choice is atomic, so nothing is tried twice.
+    """
+    gaps = ""
+    for n, key in enumerate(keys[1:], 2):
+        last = n == len(keys)
+        goes_on, ends = ("", None) if last else (r"(?=\s)", rf"(?={_BLANK}*\n)")
+        on_line = [rf"(?>[^\n]*?{_BLANK}{key}{goes_on})"] + ([rf"[^\n]*{_BLANK}{key}{ends}"] if ends else [])
+        later = rf"[^\n]*+(?>\s+){key}{goes_on}"
+        after_end = "|".join([*on_line, later])
+        here = "|".join([rf"{_BLANK}(?:{x})" for x in [*on_line, later]])
+        gaps += rf"(?:{here}|(?={_BLANK}*\n)(?:(?>\s\s+){key}{goes_on}|(?>\s+)(?:{after_end})))"
+    return [rf"(?m)^(?>[^\n]*?{keys[0]}(?={_BLANK})){gaps}", rf"{keys[0]}(?={_BLANK}*\n){gaps}"]
+
+
 def linear(pattern: str) -> list[str]:
     """Java patterns of which one is found where ``pattern`` is, without recursion over filler words.
 
     Key words and filler are one run of word characters and white space, so it is enough to look
     from the start of a run for the first of each key word after the one before.
     """
+    if _GAP in pattern:
+        return _gapped(*pattern.split(_GAP))
+    for gap in (r"\s+.*", r"\s+[^\n]*"):
+        if gap in pattern:  # the first key of a line is as good as any other, but for one that ends it
+            first, rest = pattern.split(gap, 1)
+            ways = [rf"(?m)^(?>[^\n]*?{first}(?={_BLANK}))[^\n]*{rest}", rf"{first}(?={_BLANK}*\n)(?>\s+)[^\n]*{rest}"]
+            # a key of two words may itself go over the end of a line
+            return ways + [rf"{a}(?={_BLANK}*\n)(?>\s+){b}(?>\s+)[^\n]*{rest}" for a, b in (x.split(r"\s+") for x in first.strip("()").split("|") if r"\s+" in x)]
+    if pattern.startswith(r"<!--[^>]*"):  # between two ends of tags the first beginning and the first word in it will do
+        begin, word, end = pattern.split("[^>]*")
+        return [rf"(?:\A|(?<=>))(?>[^>]*?{begin})(?>[^>]*?{word})[^>]*{end}"]
+    if r"[\s\S]*?" in pattern:
+        first, rest = pattern.split(r"[\s\S]*?", 1)
+        return [rf"(?s)\A(?>.*?{first}).*?{rest}"]
     keys = pattern.split(_FILLER)
     if len(keys) == 1:
         return [pattern]
