@@ -49,6 +49,20 @@ def tail_within(messages: DataFrame, budget: int, tokens: Column) -> DataFrame:
     return messages.select("*", F.sum(tokens).over(w).alias("_sum"), F.row_number().over(w).alias("_rn")).where((F.col("_sum") <= budget) | (F.col("_rn") == 1)).drop("_sum", "_rn")
 
 
+def tail_groups_within(messages: DataFrame, budget: int, tokens: Column) -> DataFrame:
+    """As ``tail_within``, by whole groups: a message and the tool results that follow it stay together or go together."""
+    order = Window.partitionBy("session_id").orderBy("turn")
+    grouped = messages.withColumn("_group", F.sum((F.col("role") != "tool").cast("int")).over(order))
+    sized = grouped.withColumn("_size", F.sum(tokens).over(Window.partitionBy("session_id", "_group")))
+    back = Window.partitionBy("session_id").orderBy(F.desc("_group"), F.desc("turn"))
+    # Summed once a group, at its last message.
+    ends = F.row_number().over(Window.partitionBy("session_id", "_group").orderBy(F.desc("turn"))) == 1
+    summed = sized.withColumn("_end", ends).withColumn("_sum", F.sum(F.when(F.col("_end"), F.col("_size")).otherwise(0)).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    summed = summed.withColumn("_last", F.max("_group").over(Window.partitionBy("session_id")))
+    # A group's sum stands at its last message and, from there on back, at all others of it.
+    return summed.where((F.col("_sum") <= budget) | (F.col("_group") == F.col("_last"))).drop("_group", "_size", "_end", "_sum", "_last")
+
+
 def merge_runs(messages: DataFrame) -> DataFrame:
     """Neighbouring messages of one role, but tools, as one message."""
     w = Window.partitionBy("session_id").orderBy("turn")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import edits, fuzzy, paths, search
-from ..streaming import stateful
+from ..operators import edits, fuzzy, hrr, paths, search, sessions, stages
+from ..streaming import incremental, stateful
 from .base import query
 
 TOKENS = "regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')"
@@ -109,3 +110,42 @@ def exact_copies(t):
     rows = t.documents.select("doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("digest"))
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     return rows.join(classes, "digest").select("doc_id", "class_id", "copies", (F.col("copies") - 1).alias("links"))
+
+
+@query("SELECT event_type AS \"group\", count(*) AS n, round(sum(CASE WHEN event_id % 3 = 0 THEN value * 2 ELSE value END), 4) AS total FROM events WHERE user_id % 7 <> 0 OR event_id % 3 <> 1 GROUP BY 1")
+def incremental_totals(t):
+    """Totals by batches: all users once, some of them again with other amounts and fewer events, one batch twice."""
+    spark, folder = t.events.sparkSession, f"{stages.shared_dir(t.events.sparkSession)}/totals-{uuid.uuid4().hex}"
+    given = lambda rows, amount: rows.select(F.col("user_id").alias("entity"), F.col("event_type").alias("group"), amount.alias("amount"))
+    doubled = F.when(F.col("event_id") % 3 == 0, F.col("value") * 2).otherwise(F.col("value"))
+    incremental.apply_batch(given(t.events, F.col("value")), 0, folder)
+    incremental.apply_batch(given(t.events.where("user_id % 7 != 0"), doubled), 1, folder)
+    for _ in range(2):
+        incremental.apply_batch(given(t.events.where("user_id % 7 = 0 and event_id % 3 != 1"), doubled), 2, folder)
+    return incremental.totals(spark, folder).select("group", "n", F.round("total", 4).alias("total"))
+
+
+ROLED = "CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN 'tool' ELSE role END"
+
+
+@query(f"""WITH m AS (SELECT id, session_id, turn, {ROLED} AS role, length(content) // 4 + CASE WHEN id % 9 = 0 THEN 1600 ELSE 0 END AS tokens FROM v_messages), g AS (SELECT *, sum(CASE WHEN role <> 'tool' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn) AS grp FROM m),
+s AS (SELECT session_id, grp, sum(tokens) AS size FROM g GROUP BY 1, 2), c AS (SELECT session_id, grp, sum(size) OVER (PARTITION BY session_id ORDER BY grp DESC) AS upto, max(grp) OVER (PARTITION BY session_id) AS last FROM s)
+SELECT g.id FROM g JOIN c ON g.session_id = c.session_id AND g.grp = c.grp WHERE upto <= 400 OR g.grp = last""")
+def tail_groups_cut(t):
+    """The tail of each session within a budget; an image costs a fixed charge, and no call is parted from its results."""
+    rows = t.v_messages.withColumn("role", F.expr(ROLED))
+    tokens = F.floor(F.length("content") / 4) + F.when(F.col("id") % 9 == 0, 1600).otherwise(0)
+    return sessions.tail_groups_within(rows, 400, tokens).select("id")
+
+
+@query()
+def hrr_probe(t):
+    """Facts of documents and the entities they name, asked for one of them."""
+    facts = t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("content"), F.array(F.concat(F.lit("item"), (F.col("item_id") % 7).cast("string"))).alias("entities"))
+    return hrr.probe(hrr.encoded(facts), "item3", 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def hrr_banks(t):
+    facts = t.benchmark.select((F.col("item_id") % 5).alias("bank"), F.col("text").alias("content"), F.array().cast("array<string>").alias("entities"))
+    return hrr.banks(hrr.encoded(facts, 256), "bank", 256).select("bank", "n", F.round("snr", 6).alias("snr"), F.round(F.element_at("vector", 1), 5).alias("first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from ..operators import numbering
 from .base import query
 
 # Derived columns are written once, in SQL that Spark and DuckDB read alike.
@@ -105,8 +106,8 @@ def type_histogram(t):
 @query("SELECT doc_id, source, concat('EV-', lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS STRING), 6, '0')) AS evidence_id FROM documents")
 def sequential_ids(t):
     """Numbers in order of insertion, for each source by itself."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("string")
-    return t.documents.select("doc_id", "source", F.concat(F.lit("EV-"), F.lpad(n, 6, "0")).alias("evidence_id"))
+    rows = numbering.numbered(t.documents.select("doc_id", "source"), "source", ["doc_id"], "n")
+    return rows.select("doc_id", "source", F.concat(F.lit("EV-"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("evidence_id"))
 
 
 @query(r"SELECT base, concat(base, ' #', CAST(max(CASE WHEN n = '' THEN 1 ELSE CAST(n AS BIGINT) END) + 1 AS STRING)) AS next_title FROM (SELECT regexp_replace(title, ' #\d+$', '') AS base, regexp_extract(title, ' #(\d+)$', 1) AS n FROM v_sessions WHERE title IS NOT NULL) GROUP BY base")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pieces import with_ordinal
+
 #: Files that a crawl leaves out by their extension, and the largest it reads.
 SKIPPED = (
     ".exe", ".dll", ".so", ".dylib", ".bin", ".dat", ".db", ".sqlite", ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".ico", ".svg",
@@ -28,11 +30,11 @@ def conversations(rows: DataFrame) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, required: list[str] | None = None, ordinal: str | None = None) -> DataFrame:
-    """A CSV with a header; a missing required column is an error. The ordinal is a file's row order."""
+    """A CSV with a header; a missing required column is an error. The ordinal is a row's number in its file."""
     rows = spark.read.option("header", True).csv(path)
     if missing := [c for c in required or [] if c not in rows.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return rows.withColumn(ordinal, F.monotonically_increasing_id()) if ordinal else rows
+    return with_ordinal(rows, ordinal) if ordinal else rows
 
 
 def headless_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "ISO-8859-1") -> DataFrame:
