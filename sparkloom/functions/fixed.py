@@ -78,4 +78,10 @@ THREAT_GUARDS = {
     "agent_config_mod": ("agents.md", "claude.md", ".cursorrules", ".clinerules"), "known_c2_framework": ("praxis", "cobalt", "sliver", "havoc", "mythic", "metasploit", "brainworm"),
     "hardcoded_secret": ("api", "token", "secret", "password"), "ssh_access": ("/.ssh",), "forced_action": ("must",), "c2_heartbeat": ("heartbeat", "beacon", "check"), "c2_task_pull": ("pull",),
 }
-INVISIBLE = "​‌‍⁠⁢⁣⁤﻿‪‫‬‭‮⁦⁧⁨⁩"
+
+# Characters that can't be seen, zero-width ones first, then those that turn the direction of text.
+INVISIBLE = "\u200b\u200c\u200d\u2060\u2062\u2063\u2064\ufeff\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
+# Where a sentence ends.
+SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!|\n)\s+"
+# Control sequences of terminals.
+ANSI = r"\x1b(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1b]*(?:\x07|\x1b\\)|[@-Z\\-_])"

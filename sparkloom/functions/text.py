@@ -56,7 +56,7 @@ def truncate(text: Column, most: int) -> Column:
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.regexp_replace(text, r"\x1b(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1b]*(?:\x07|\x1b\\)|[@-Z\\-_])", "")
+    return F.regexp_replace(text, fixed.ANSI, "")
 
 
 def scratchpad_to_think(text: Column) -> Column:

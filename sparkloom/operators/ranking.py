@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 
 
@@ -19,7 +20,7 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight) with weight (c / max c) (ln((N + 1) / (df + 1)) + 1)."""
-    # Term frequencies and their maximum need no shuffle of their own: a document is one row.
+    # Counts are summed in the tasks before they meet by document and term.
     tokens = docs.select(key, T.tokenize(F.col(text)).alias("tokens"))
     index = tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
     top = index.groupBy(key).agg(F.max("c").alias("m"))
@@ -58,13 +59,10 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k: int, k1: flo
     return rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!|\n)\s+"
-
-
 def sentence_scores(docs: DataFrame, key: str, text: str, least_words: int = 4) -> DataFrame:
     """(key, idx, sentence, score): frequent words, an early place and few words score high."""
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\w+"), F.lit(0))
-    split = docs.select(key, F.posexplode(F.split(F.trim(F.col(text)), SENTENCE_END)).alias("idx", "sentence")).where(F.trim("sentence") != "")
+    split = docs.select(key, F.posexplode(F.split(F.trim(F.col(text)), fixed.SENTENCE_END)).alias("idx", "sentence")).where(F.trim("sentence") != "")
     tokens = split.select(key, "idx", F.explode(words(F.col("sentence"))).alias("w"))
     counts = tokens.groupBy(key, "w").agg(F.count("*").alias("c"))
     top = counts.groupBy(key).agg(F.max("c").alias("m"))

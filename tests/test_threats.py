@@ -43,3 +43,10 @@ def test_long_texts_take_time_in_proportion(spark):
         found = rows.select(text.threats(F.col("t")).alias("f")).first().f
         assert time.time() - began < 30, bit
         assert "translate_execute" not in found and "send_to_url" not in found
+
+
+def test_control_sequences_go(spark):
+    rows = [(1, "\x1b[31mred\x1b[0m \x1b]0;title\x07text\x1b[2K"), (2, None), (3, "plain [31m")]
+    got = {r.id: r.t for r in spark.createDataFrame(rows, "id long, t string").select("id", text.strip_ansi(F.col("t")).alias("t")).collect()}
+    assert got == {1: "red text", 2: None, 3: "plain [31m"}
+    assert len(fixed.INVISIBLE) == 17 and spark.range(1).select(text.threats(F.lit("a​b")).alias("f")).first().f == ["invisible_unicode"]
