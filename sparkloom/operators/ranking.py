@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .stages import written
+
+#: So many terms with their frequencies go to every task.
+BROADCAST_TERMS = 200_000
+#: Terms in so many documents are dealt to PARTS parts, the MOST_HOT most frequent of them; any other term has less than
+#: one in MOST_HOT of all rows.
+HOT_TERM, MOST_HOT, PARTS = 50_000, 10_000, 64
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -18,14 +25,45 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is made once a row, also where lambdas in ``body`` read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(tokens: Column) -> Column:
+    """An array of (term, c), null without tokens: runs of them sorted, counted within the row."""
+
+    def runs(ordered: Column) -> Column:
+        first = lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1))))
+        return once(F.filter(F.sequence(F.lit(1), F.size(ordered)), first), lambda starts: counted(ordered, starts))
+
+    def counted(ordered: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(ordered) + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(ordered, a).alias("term"), (b - a).cast("long").alias("c")))
+
+    return F.when(F.size(tokens) > 0, once(F.array_sort(tokens), runs))
+
+
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight) with weight (c / max c) (ln((N + 1) / (df + 1)) + 1)."""
-    # Counts are summed in the tasks before they meet by document and term.
-    tokens = docs.select(key, T.tokenize(F.col(text)).alias("tokens"))
-    index = tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
-    top = index.groupBy(key).agg(F.max("c").alias("m"))
+    """(key, term, weight) with weight (c / max c) (ln((N + 1) / (df + 1)) + 1); a row is a document.
+
+    Counts and their maximum are made in the row. Frequencies of terms, summed in the tasks first, go to all tasks when
+    there are at most ``BROADCAST_TERMS``; beyond that rows meet them by term, where a term in many documents is dealt to ``PARTS``.
+    """
+    tokens = docs.select(key, T.tokenize(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    counted = tokens.select(key, term_counts(F.col("tokens")).alias("runs"))
+    index = counted.select(key, F.array_max(F.transform("runs", lambda r: r["c"])).alias("m"), F.explode("runs").alias("r")).select(key, "m", "r.term", "r.c")
+    df = written(document_frequencies(index), "frequencies")
     n = docs.agg(F.count("*").alias("n"))
-    scored = index.join(top, key).join(document_frequencies(index), "term").join(F.broadcast(n), F.lit(True))
+    if df.count() <= BROADCAST_TERMS:
+        met = index.join(F.broadcast(df), "term")
+    else:
+        hot = df.where(F.col("df") >= HOT_TERM).orderBy(F.desc("df"), "term").limit(MOST_HOT).select("term", F.lit(True).alias("_hot"))
+        parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+        copies = df.join(F.broadcast(hot), "term", "left").select("term", "df", F.explode(parts).alias("_part"))
+        part = F.when(F.col("_hot"), F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")).otherwise(0)
+        met = index.join(F.broadcast(hot), "term", "left").withColumn("_part", part).drop("_hot").join(copies, ["term", "_part"])
+    scored = met.join(F.broadcast(n), F.lit(True))
     return scored.select(key, "term", ((F.col("c") / F.col("m")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("weight"))
 
 

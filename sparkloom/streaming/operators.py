@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,23 @@ def session_batches(events: DataFrame, key: str, gap: str) -> DataFrame:
     return found.select(key, F.col("w.start").alias("start"), "n", F.array_join(F.transform("parts", lambda x: x["event_type"]), ",").alias("merged"))
 
 
+def quiet_gap(size: Column, cap: float, tiers: tuple[tuple[int, float], ...], split_at: int, split_gap: float) -> Column:
+    """How long to wait for more after a text, as an interval: short texts (``tiers`` of length and seconds, shortest
+    first) wait less, never longer than ``cap``; one near the length at which texts are split waits for its rest."""
+    gap = F.when(size >= split_at, F.lit(float(split_gap)))
+    for most, seconds in tiers:
+        gap = gap.when(size <= most, F.lit(float(min(cap, seconds))))
+    return F.make_interval(secs=gap.otherwise(F.lit(float(cap))).cast("decimal(18,6)"))
+
+
+def text_batches(messages: DataFrame, key: str, gap: Column) -> DataFrame:
+    """(key, start, n, merged): texts (ts, id, text) of a key joined until it has been quiet for the longest wait of any of
+    them; each message brings its own. Null texts count as empty. The same on a stream with a watermark."""
+    parts = F.array_sort(F.collect_list(F.struct("ts", "id", F.coalesce("text", F.lit("")).alias("text"))))
+    found = messages.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), parts.alias("parts"))
+    return found.select(key, F.col("w.start").alias("start"), "n", F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("merged"))
+
+
 def windowed(events: DataFrame, size: str, slide: str | None = None) -> DataFrame:
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return events.groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).select("event_type", F.col("w.start").alias("start"), "n", "total")

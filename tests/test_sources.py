@@ -58,8 +58,8 @@ def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(k, k % 2 == 0) for k in range(10)], "id int, completed boolean")
     writers.jsonl_by_outcome(rows, str(tmp_path / "o"))
     assert spark.read.json(str(tmp_path / "o" / "completed=true")).count() == 5
-    writers.jsonl_batches(rows.coalesce(1), str(tmp_path / "b"), 4)
-    assert len(list((tmp_path / "b").glob("part-*"))) == 3
+    writers.jsonl_batches(rows, str(tmp_path / "b"), 4, ["id"])
+    assert len(list((tmp_path / "b").glob("batch=*/part-*"))) == 3
     old = spark.createDataFrame([(1, "a", "t0"), (2, "b", "t0")], "id int, v string, created_at string")
     new = spark.createDataFrame([(2, None, "t1"), (3, "c", "t1")], "id int, v string, created_at string")
     assert sorted(tuple(r) for r in writers.upsert(old, new, "id").collect()) == [(1, "a", "t0"), (2, "b", "t0"), (3, "c", "t1")]
