@@ -31,7 +31,7 @@ def once(value: Column, body) -> Column:
 
 
 def term_counts(tokens: Column) -> Column:
-    """An array of (term, c), null without tokens: runs of them sorted, counted within the row."""
+    """An array of (term, c, m), null without tokens: runs of them sorted, counted within the row; m is the largest c."""
 
     def runs(ordered: Column) -> Column:
         first = lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1))))
@@ -39,9 +39,10 @@ def term_counts(tokens: Column) -> Column:
 
     def counted(ordered: Column, starts: Column) -> Column:
         ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(ordered) + 1))
-        return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(ordered, a).alias("term"), (b - a).cast("long").alias("c")))
+        lengths = F.zip_with(starts, ends, lambda a, b: b - a)
+        return once(F.array_max(lengths), lambda m: F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(ordered, a).alias("term"), (b - a).cast("long").alias("c"), m.cast("long").alias("m"))))
 
-    return F.when(F.size(tokens) > 0, once(F.array_sort(tokens), runs))
+    return F.when(F.size(tokens) > 0, once(F.sort_array(tokens), runs))
 
 
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,10 +51,12 @@ def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     Counts and their maximum are made in the row. Frequencies of terms, summed in the tasks first, go to all tasks when
     there are at most ``BROADCAST_TERMS``; beyond that rows meet them by term, where a term in many documents is dealt to ``PARTS``.
     """
-    tokens = docs.select(key, T.tokenize(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    tokens = docs.select(key, T.tokenize(F.col(text)).alias("tokens"))
+    # An inner explode would have its size tested ahead of it, and so make the runs of a row twice. The largest count goes
+    # with each run: beside an explode it would be made for each of its rows.
     counted = tokens.select(key, term_counts(F.col("tokens")).alias("runs"))
-    index = counted.select(key, F.array_max(F.transform("runs", lambda r: r["c"])).alias("m"), F.explode("runs").alias("r")).select(key, "m", "r.term", "r.c")
-    df = written(document_frequencies(index), "frequencies")
+    index = counted.select(key, F.explode_outer("runs").alias("r")).select(key, "r.term", "r.c", "r.m").where("term IS NOT NULL")
+    df = written(document_frequencies(tokens.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term IS NOT NULL")), "frequencies")
     n = docs.agg(F.count("*").alias("n"))
     if df.count() <= BROADCAST_TERMS:
         met = index.join(F.broadcast(df), "term")
