@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import registry
 from sparkloom.functions import fixed
+from sparkloom.operators import entities
 from sparkloom.plans.base import Tables
 
 SF = "/root/testdata/sf0.01"
@@ -68,3 +69,19 @@ def test_every_order_gets_its_nearest_date(spark):
     want = sorted((r.o_orderkey, min(abs((r.day - d).days) for d in days[r.o_custkey])) for r in events if r.o_custkey in days)
     found = registry.QUERIES["nearest_event_distance"](spark, SF).collect()
     assert sorted((r.event_id, r.days) for r in found) == want and any(k % 20 for k, _ in want)
+
+
+def test_pairs_are_made_by_blocks_and_stand_once(spark, monkeypatch):
+    """Rows with several names, equal rows and frequent names over blocks of three: the pairs of a plain join, and no more in ``resolve``."""
+    monkeypatch.setattr(entities, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(entities, "TASK_PAIRS", 20)
+    names = ["goat wall river", "river goat wall", "goat wall", "oak", "", None]
+    a = [(k, names[k % 3]) for k in range(20)] + [(1, "river goat wall"), (1, "goat wall river"), (2, "goat wall"), (30, "oak"), (None, "oak"), (31, ""), (32, None)]
+    b = [(k, names[k % 2]) for k in range(15)] + [(1, "goat wall river"), (1, "goat wall"), (30, "oak"), (30, "oak"), (31, ""), (32, None)]
+    left, right = (spark.createDataFrame(x, "row_id long, name string") for x in (a, b))
+    all_pairs = [(x, y, k) for x, n in a for y, m in b for k in kinds(normal(n or ""), normal(m or ""))]
+    order = lambda rows: sorted(rows, key=str)
+    for made, kind in ((entities.equal_names(left, right, "norm", "exact"), "exact"), (entities.equal_names(left, right, "bag", "fuzzy"), "fuzzy")):
+        assert order((r.left_row, r.right_row, r.match_type) for r in made.collect()) == order(p for p in all_pairs if p[2] == kind)
+        assert made.rdd.getNumPartitions() > 1
+    assert order((r.left_row, r.right_row, r.match_type) for r in entities.resolve(left, right).collect()) == order(set(all_pairs))
