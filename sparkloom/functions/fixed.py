@@ -76,6 +76,10 @@ THREAT_GUARDS = {
     "translate_execute": ("translate",), "hidden_div": ("style",), "html_comment_injection": ("<!--",), "exfil_curl": ("curl",), "exfil_wget": ("wget",),
     "read_secrets": (".env", "credentials", ".netrc", ".pgpass", ".npmrc", ".pypirc"), "send_to_url": ("http://", "https://"),
     "agent_config_mod": ("agents.md", "claude.md", ".cursorrules", ".clinerules"), "known_c2_framework": ("praxis", "cobalt", "sliver", "havoc", "mythic", "metasploit", "brainworm"),
+    "prompt_injection": ("instructions",), "sys_prompt_override": ("override",), "disregard_rules": ("disregard",), "bypass_restrictions": ("restrictions", "limits", "rules"), "deception_hide": ("user",),
+    "role_hijack": ("now",), "role_pretend": ("pretend",), "leak_system_prompt": ("prompt",), "remove_filters": ("without",), "fake_update": ("updated", "upgraded", "patched"), "identity_override": ("yourself",),
+    "c2_node_registration": ("register",), "c2_network_connect": ("network",), "anti_forensic_oneliner": ("liner",), "anti_forensic_disk": ("never",), "c2_explicit": ("c2",), "c2_explicit_long": ("command",),
+    "context_exfil": ("conversation", "chat", "messages", "context"), "ssh_backdoor": ("authorized_keys",),
     "hardcoded_secret": ("api", "token", "secret", "password"), "ssh_access": ("/.ssh",), "forced_action": ("must",), "c2_heartbeat": ("heartbeat", "beacon", "check"), "c2_task_pull": ("pull",),
 }
 

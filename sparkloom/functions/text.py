@@ -127,20 +127,25 @@ def linear(pattern: str) -> list[str]:
 def threats(text: Column, scope: str = "strict", more: tuple[tuple[str, str, str], ...] = ()) -> Column:
     """Ids of the threats found, in their fixed order, then those of ``more``, then invisible characters."""
     scopes = {"all": ("all",), "context": ("all", "context"), "strict": ("all", "context", "strict")}[scope]
-    found = []
-    for name, own, pattern in (*fixed.THREATS, *more):
-        if own in scopes:
+    named = [(name, pattern) for name, own, pattern in (*fixed.THREATS, *more) if own in scopes]
+
+    def found(lower: Column) -> Column:
+        out = []
+        for name, pattern in named:
             held = F.lit(False)
             for way in linear(pattern):
                 held = held | text.rlike(f"(?i){way}")
             if name in fixed.THREAT_GUARDS:
                 near = F.lit(False)
                 for word in fixed.THREAT_GUARDS[name]:
-                    near = near | F.lower(text).contains(word)
+                    near = near | lower.contains(word)
                 held = near & held
-            found.append(F.when(held, F.lit(name)))
-    found.append(F.when(text.rlike(f"[{fixed.INVISIBLE}]"), F.lit("invisible_unicode")))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+            out.append(F.when(held, F.lit(name)))
+        out.append(F.when(text.rlike(f"[{fixed.INVISIBLE}]"), F.lit("invisible_unicode")))
+        return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+    # Lower case is made once a text, and every pattern has literals without which it isn't tried.
+    return F.get(F.transform(F.array(F.lower(text)), found), F.lit(0))
 
 
 def decay(hours: Column) -> Column:
