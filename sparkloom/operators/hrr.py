@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,58 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.cos(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+#: Vectors of a block of all and of a block of those asked; pairs of a task, about.
+ROW_BLOCK, QUERY_BLOCK, TASK_PAIRS = 512, 256, 2_000_000
+
+
+def _phases(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cosines and sines of each vector's components, 0 where there is none, and where there are some."""
+    sizes = vectors.value_lengths().fill_null(0).to_numpy()
+    flat = vectors.flatten().cast(pa.float64())
+    at = np.arange(sizes.max(initial=0)) < sizes[:, None]
+    value, there = np.zeros(at.shape), np.zeros(at.shape)
+    value[at], there[at] = flat.fill_null(0.0).to_numpy(), flat.is_valid().to_numpy(zero_copy_only=False)
+    return np.cos(value) * there, np.sin(value) * there, there
+
+
+def _block_similarities(batches):
+    """cos(x - y) is cos x cos y + sin x sin y, so the sums of a block of pairs are two products of matrices."""
+    for batch in batches:
+        for rows, asked in zip(batch.column(0), batch.column(1), strict=True):
+            (b, v), (a, u) = ((x.values.field(0), x.values.field(1)) for x in (rows, asked))
+            p, q = _phases(u), _phases(v)
+            width = min(p[0].shape[1], q[0].shape[1])
+            (cu, su, tu), (cv, sv, tv) = ([m[:, :width] for m in x] for x in (p, q))
+            n = tu @ tv.T
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = (cu @ cv.T + su @ sv.T) / n * 1e5
+            rounded = (np.trunc(mean + np.copysign(0.5, mean)) / 1e5).ravel()
+            # Vectors without a component in common make no pair; where all of them are null the mean is.
+            met = np.minimum.outer(*(x.value_lengths().fill_null(0).to_numpy() for x in (u, v))).ravel() > 0
+            left, right = np.repeat(np.arange(len(a)), len(b))[met], np.tile(np.arange(len(b)), len(a))[met]
+            found = pa.array(rounded[met], mask=(n.ravel() == 0)[met])
+            yield pa.RecordBatch.from_arrays([a.take(pa.array(left)), b.take(pa.array(right)), found], ["a", "b", "similarity"])
+
+
+def similarities(asked: DataFrame, rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(a, b, similarity): the mean cosine, to 5 places, of phase differences of every vector asked and every row.
+
+    Blocks of both meet in a plain product, and pairs are made in the tasks. Components that are null or that only one has don't count.
+    """
+
+    def blocks(table: DataFrame, parts: int, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(key, vector), F.lit(parts))
+        dealt = table.select(block.alias("block"), F.struct(F.col(key), F.col(vector)).alias("x"))
+        return dealt.groupBy("block").agg(F.collect_list("x").alias(name)).select(name)
+
+    n, m = rows.count(), asked.count()
+    tasks = int(min(n * m // TASK_PAIRS + 1, 10_000))
+    of_rows = blocks(rows, -(-n // ROW_BLOCK) or 1, "r").repartition(tasks)
+    pairs = of_rows.crossJoin(blocks(asked, -(-m // QUERY_BLOCK) or 1, "q")).select("r", "q")
+    kind = rows.schema[key].dataType.simpleString()
+    return pairs.mapInArrow(_block_similarities, f"a {kind}, b {kind}, similarity double")
+
+
 def bind(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.pmod(x + y, F.lit(TURN)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import ranking
+from ..operators import hrr, ranking
 from .base import query
 
 STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
@@ -172,24 +172,15 @@ def extractive_summary(t):
     return ranking.summary(t.documents, "doc_id", "text", 3)
 
 
-#: Query vectors that are compared with a row at a time.
-QUERY_BLOCK = 64
-
-
 @query("""SELECT x.vec_id AS a, y.vec_id AS b, round(avg(cos(x.v - y.v)), 5) AS similarity
 FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id % 100 = 0) x
 JOIN (SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) y ON x.i = y.i GROUP BY x.vec_id, y.vec_id""")
 def hrr_similarity(t):
     """Mean cosine of phase differences of every hundredth vector and every vector.
 
-    The query set grows with the table, so it is not broadcast by hint: its blocks meet the rows in a plain product.
+    The query set grows with the table, so it is not broadcast by hint: its blocks meet those of the rows in a plain product.
     """
-    near = lambda u: F.aggregate(F.zip_with(u, "v", lambda x, y: F.cos(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size("v")
-    asked = t.embeddings.where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / (100 * QUERY_BLOCK)).alias("block"), F.struct(F.col("vec_id").alias("a"), F.col("embedding").alias("u")).alias("q"))
-    blocks = asked.groupBy("block").agg(F.collect_list("q").alias("qs")).select("qs")
-    rows = t.embeddings.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v")).crossJoin(blocks)
-    pairs = rows.select("b", F.explode(F.transform("qs", lambda q: F.struct(q["a"].alias("a"), F.round(near(q["u"]), 5).alias("similarity")))).alias("p"))
-    return pairs.select("p.a", "b", "p.similarity")
+    return hrr.similarities(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding")
 
 
 @query("""SELECT x.vec_id, round(sum((x.v + y.v) - 6.283185307179586 * floor((x.v + y.v) / 6.283185307179586)), 4) AS phase_sum

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import registry
 from sparkloom.functions import fixed
-from sparkloom.operators import entities, ranking
+from sparkloom.operators import entities, hrr, ranking
 from sparkloom.plans.base import Tables
 
 SF = "/root/testdata/sf0.01"
@@ -120,3 +120,20 @@ def test_sentences_are_scored_where_their_text_is_read(spark):
     assert len(ties) <= len(got) // 100, ties  # sums of doubles may part equal scores whose fractions differ
     queries = [registry.QUERIES[q](spark, SF) for q in ("sentence_scores", "extractive_summary")]
     assert not any("Exchange" in plan_of(q) for q in queries)
+
+
+def test_vectors_of_any_length_are_compared_by_blocks(spark, monkeypatch):
+    """Components that are null or in one vector only don't count, and a vector without any makes no pair: as in the SQL."""
+    monkeypatch.setattr(hrr, "ROW_BLOCK", 3)
+    monkeypatch.setattr(hrr, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(hrr, "TASK_PAIRS", 5)
+    vectors = [(0, [0.5, 1.0, 2.0]), (100, [1.5, None, 0.25]), (200, [3.0]), (300, []), (400, None), (500, [None]), (500, [0.1, 0.2]), *[(k, [k / 7, k / 3, 1.0]) for k in range(1, 9)]]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    want = []
+    for a, u in vectors:
+        for b, v in vectors:
+            if a % 100 == 0 and min(len(u or []), len(v or [])):
+                both = [np.cos(float(np.float32(x)) - float(np.float32(y))) for x, y in zip(u, v) if x is not None and y is not None]
+                want.append((a, b, round(float(np.mean(both)), 5) if both else None))
+    found = [(r.a, r.b, r.similarity) for r in hrr.similarities(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding").collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
