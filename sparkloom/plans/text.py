@@ -54,7 +54,7 @@ q AS (SELECT unnest(['then', 'and', 'attion', 'ation', 'thanea']) AS term)
 SELECT w.doc_id, round(sum(weight) / (any_value(nrm) * sqrt(5.0)), 6) AS score FROM w JOIN q USING (term) JOIN nrm USING (doc_id) GROUP BY w.doc_id ORDER BY 2 DESC, 1 LIMIT 10""")
 def tfidf_topk(t):
     terms = ["then", "and", "attion", "ation", "thanea"]
-    return ranking.query_topk(ranking.tfidf(t.documents, "doc_id", "text"), terms, 10)
+    return ranking.query_topk(ranking.tfidf(t.documents, "doc_id", "text", holding=terms), terms, 10)
 
 
 @query(f"""WITH tok AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS c FROM tok GROUP BY 1, 2),

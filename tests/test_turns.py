@@ -109,6 +109,25 @@ def test_weights_by_either_join(spark, monkeypatch):
     assert {r.term: r.weight for r in ranking.tfidf(long, "doc_id", "text").collect()} == {"pear": 1.0, "fig": 1.0}
 
 
+def test_rows_of_frequent_terms_stay(spark, monkeypatch):
+    """Frequent terms' rows meet their frequencies where they are; a search makes weights of rows that hold one of its terms only."""
+    docs = spark.createDataFrame([(k, "pear " + " ".join(random.Random(k).choices(["apple", "plum", "fig"], k=k % 5)) + f" only{k}" * 2) for k in range(40)] + [(99, None)], "doc_id long, text string")
+    weights = lambda **b: {(r.doc_id, r.term): round(r.weight, 9) for r in ranking.tfidf(docs, "doc_id", "text", **b).collect()}
+    near = weights()
+    top = lambda **b: ranking.query_topk(ranking.tfidf(docs, "doc_id", "text", **b), ["fig", "none"], 5).collect()
+    cosine = lambda: {(r.doc_id, round(r.cosine, 9)) for r in ranking.cosine_to(ranking.tfidf(docs, "doc_id", "text"), 7).collect()}
+    best, cosines = top(), cosine()
+    for bound in (4, 3, 1, 0):
+        monkeypatch.setattr(ranking, "BROADCAST_TERMS", bound)
+        assert weights() == near and top() == best == top(holding=["fig", "none"]) and cosine() == cosines and len(best) == 5 and len(cosines) == 39
+        held = {k for k, term in near if term == "fig"}
+        assert weights(holding=["fig"]) == {(k, term): w for (k, term), w in near.items() if k in held} and weights(holding=[]) == {}
+    monkeypatch.setattr(ranking, "BROADCAST_TERMS", 4)
+    frame = ranking.tfidf(docs, "doc_id", "text")
+    frame.collect()
+    assert "LeftAnti" in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_days(spark):
     draw, day = random.Random(3), lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
     events = [(draw.randrange(4), k, None if k % 17 == 0 else day(draw.randrange(300))) for k in range(120)]
