@@ -288,3 +288,17 @@ def test_contaminated_rows_without_an_own_id_go(spark):
     docs = frame(spark, rows, "doc_id long, text string")
     kept = decontamination.clean(docs, frame(spark, [(1, item)], "item_id long, text string"))
     assert sorted((r.text or "") for r in kept.collect()) == ["", "", "a clean text of its own", "another clean text with the same id"]
+
+
+def test_no_rows_of_python_values_are_dealt_beside_the_texts(spark, monkeypatch):
+    """Such rows go through Python workers of their own, which stay and take an executor's memory."""
+
+    def dealt(*_, **__):
+        raise AssertionError("rows of Python values")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", dealt)
+    item = "where does the amber river turn beside nine quiet mills under a copper moon"
+    docs = spark.range(30).selectExpr("id AS doc_id", f"CASE WHEN id = 3 THEN '{item}' ELSE concat('words of number ', id, ' go on and on') END AS text")
+    bench = docs.where("doc_id = 3").selectExpr("doc_id AS item_id", "text")
+    assert [(r.doc_id, r.item_id) for r in decontamination.find(docs, bench).collect()] == [(3, 3)]
+    assert decontamination.find(docs, bench.limit(0)).count() == 0
