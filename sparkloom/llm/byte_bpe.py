@@ -180,8 +180,9 @@ class Codec:
 
     kept = KEPT_PIECES
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay = MergeReplay(ranks)
+    def __init__(self, ranks: dict[bytes, int] | MergeReplay, pattern: str):
+        self.replay = ranks if isinstance(ranks, MergeReplay) else MergeReplay(ranks)
+        ranks = self.replay.ranks
         self.word = regex.compile(pattern)
         self.piece = re.compile(PIECES)
         self.codes: dict[str, bytes] = {}
@@ -237,10 +238,11 @@ class Codec:
 
 
 def _with_codec(spark, path: str, pattern: str, row, schema: str, slice_chars: int = SLICE_CHARS, kept: int = KEPT_PIECES):
-    ranks = spark.sparkContext.broadcast(load_ranks(path))  # the vocabulary: of fixed size
+    # The vocabulary and its pairs: of fixed size, and made once, not by every task.
+    replay = spark.sparkContext.broadcast(MergeReplay(load_ranks(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        codec = Codec(replay.value, pattern)
         codec.kept = kept
         for ids, texts in text_slices(batches, slice_chars):
             columns = row(codec, ids, codec.encode(texts))

@@ -1,6 +1,7 @@
 """Byte-level BPE against tiktoken, token counts against the libraries."""
 
 import hashlib
+import pickle
 import random
 
 import public_tokenizers
@@ -72,3 +73,11 @@ def test_round_trip_and_counts_in_spark(spark):
     whole = token_counts.Library(path, open(path, "rb").read()).counts([t or "" for t in texts])
     for row in token_counts.count_tokens(docs, path).collect():
         assert (row.n_bytes, row.n_tokens, row.over_limit) == (len((texts[row.doc_id] or "").encode()), whole[row.doc_id], whole[row.doc_id] > 1024)
+
+
+def test_a_codec_takes_pairs_made_before():
+    """Tasks get the pairs of the vocabulary made, and don't make them anew."""
+    replay, texts = pickle.loads(pickle.dumps(byte_bpe.MergeReplay(RANKS))), fuzz(2)
+    codec = byte_bpe.Codec(replay, public_tokenizers.PATTERN)
+    assert codec.replay is replay
+    assert codec.encode(texts) == byte_bpe.Codec(RANKS, public_tokenizers.PATTERN).encode(texts)
