@@ -302,3 +302,26 @@ def test_no_rows_of_python_values_are_dealt_beside_the_texts(spark, monkeypatch)
     bench = docs.where("doc_id = 3").selectExpr("doc_id AS item_id", "text")
     assert [(r.doc_id, r.item_id) for r in decontamination.find(docs, bench).collect()] == [(3, 3)]
     assert decontamination.find(docs, bench.limit(0)).count() == 0
+
+
+def test_index_terms_of_passages_are_met_without_splitting_texts(monkeypatch):
+    """Each pass over all texts split them into lists of words, most of its CPU time; only texts of candidates need that."""
+    texts = ["", "İstanbul ΑΣ ΑΣ'ς x_1", "\n\n", "a", "日本語 text Ⅷ ²x", "a\x00b \x1cc d Σ", "tail_ " + "alpha beta, gamma! " * 90, "straße\tÉcole é " * 40, "beta\n" * 49]
+    words = [decontamination.words_of(t) for t in texts]
+    terms = {w: k for k, w in enumerate(sorted({w for own in words for w in own[:7]} - {"gamma"}) + ["absent"])}
+    rows, begins, n = [], [], 0
+    for own in words:
+        begins.append(n)
+        for start in range(0, max(1, len(own) - decontamination.STEP), decontamination.STEP) if own else []:
+            some = [terms[w] for w in own[start : start + decontamination.WINDOW] if w in terms]
+            rows += [(n, t, some.count(t)) for t in sorted(set(some))]
+            n += 1
+
+    def split(_):
+        raise AssertionError("a text was split into words")
+
+    monkeypatch.setattr(decontamination, "words_of", split)
+    for known in (terms, {}):
+        passage, term, count, first, total = decontamination.Passages(known)(texts)
+        assert list(zip(passage.tolist(), term.tolist(), count.tolist(), strict=True)) == (rows if known else [])
+        assert (first.tolist(), total) == (begins, n)
