@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, discard, join_hot, keyed_text, lean, settle
-from .components import components
+from .components import apart, components, extended
 
 WORDS, PERCENT = 3, 90
 #: Sets that the allocation is decided on, at most about; what a colliding pair costs in signatures.
@@ -361,13 +361,6 @@ def _linked(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> Dat
     return out
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose components differ."""
-    for side in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
 def _centres(first: DataFrame) -> DataFrame:
     """head, centre: the set that a bucket's head shares most with, and so on, four steps on."""
     up = first.select(F.col("a").alias("head"), F.col("b").alias("centre"))
@@ -505,10 +498,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int
     first = settle(shared.groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), "b")).alias("b")), "jj-first")
     links = _linked(first, keyed, words, percent)
     roots = components(links)
-    rest = _apart(shared.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
+    rest = apart(shared.select("a", "b").join(first, ["a", "b"], "left_anti"), roots, roots.count())
+    rest = settle(rest.select("a", "b"), "jj-rest")
     more = _linked(rest, keyed, words, percent)
-    discard(roots)
-    roots = components(links.unionByName(more))
+    early, roots = roots, extended(roots, more)
+    discard(early, rest)
 
     # What shares a bucket and is still in different components.
     tagged = join_hot(buckets, roots.withColumnRenamed("node", "doc"), ["doc"], roots.count(), "left").select("sig", "head", "doc", F.coalesce("root", "doc").alias("root"))
@@ -517,7 +511,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int
     mixed = settle(mixed.join(centre, "head", "left").select("sig", F.coalesce("centre", "head").alias("c")), "jj-mixed")
     left = settle(join_hot(tagged, mixed, ["sig"], mixed.count()).select("c", "doc", "root").distinct(), "jj-left")
     tied = _by_difference(left, keyed, words, percent)
-    last = components(links.unionByName(more).unionByName(tied))
+    last = extended(roots, tied)
     discard(shared, first, buckets, centre, mixed, left, links, more, tied, roots, sets, copies)
 
     # A rep is the least document of its set, so the root is the least of the component.

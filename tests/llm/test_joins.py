@@ -128,3 +128,37 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     found = [(r.doc_id, r.text) for r in kept.collect()]
     assert sum(t == b for _, t in found) == 1 and sum(t == a for _, t in found) == 1
     assert (12, c) in found and (None, c) in found and len(found) == 4
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """Each shuffle costs the driver a task a partition, and what it keeps of tasks takes its memory."""
+    edges = spark.createDataFrame([(k, k // 2) for k in range(1, 64)], "a long, b long").coalesce(1)
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, sc = {k: spark.conf.get(k) for k in conf}, spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-edges", "few edges")
+        got = {r.node: r.root for r in components.components(edges).collect()}
+        tracker = sc.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(job).stageIds}
+        tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == dict.fromkeys(range(64), 0)
+    assert tasks <= 450
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 3])
+def test_components_are_extended_by_what_ties_them(spark, monkeypatch, bound):
+    monkeypatch.setattr(common, "BROADCAST_IDS", bound)
+    monkeypatch.setattr(components, "BROADCAST_IDS", bound)
+    rnd = random.Random(5)
+    one, two = ([(rnd.randrange(400), rnd.randrange(400)) for _ in range(n)] for n in (150, 60))
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    for more in (two, [(None, 3), (7, None)]) if bound > 3 else [two]:
+        got = [tuple(r) for r in components.extended(components.components(frame(one)), frame(more)).collect()]
+        want = {r.node: r.root for r in components.components(frame(one + more)).collect()}
+        assert len(got) == len(set(got)) and dict(got) == want
