@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,10 +53,14 @@ SPARE = 4
 OUT_ROWS = 20_000
 #: Signatures that a task groups at a time.
 CHUNK = 500_000
-KEPT_WORDS, KEPT_CENTRES = 200_000, 64
+KEPT_CENTRES = 64
+#: Bytes of texts that are shingled at a time, about; words of more bytes than this are hashed each by itself.
+SLICE_BYTES, LONG_WORD = 300_000, 64
 #: Characters of centres' texts that are broadcast, at most.
 BROADCAST_TEXT = 16_000_000
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: The first bytes of eight.
+_FRONT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,25 +72,67 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
+    """Sorted 64-bit hashes of the distinct shingles of a text, made for many texts at a time."""
+
     def __init__(self, words: int):
-        self.n, self.known = words, {}
+        self.n = words
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted 64-bit hashes of the distinct shingles."""
-        words = (text or "").encode(errors="surrogatepass").lower().split()
-        if not words:
+        raw = (text or "").encode(errors="surrogatepass") + b" "
+        return self._sets(raw, np.array([0, len(raw)]))[0]
+
+    def column(self, texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[list[np.ndarray]]:
+        """The sets of a column's texts, in slices of about ``size`` bytes."""
+        empty, space = (pa.scalar(x, pa.large_binary()) for x in (b"", b" "))
+        ended = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_binary()), empty), empty, space)
+        ends = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
+        at = 0
+        while at < len(ended):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, side="right")) - 1)
+            raw = ended.buffers()[2][int(ends[at]) : int(ends[to])].to_pybytes()
+            yield self._sets(raw, ends[at : to + 1] - ends[at])
+            at = to
+
+    def _sets(self, raw: bytes, ends: np.ndarray) -> list[np.ndarray]:
+        """``raw`` holds texts that end in a space each; where they begin and the last one ends."""
+        starts, h = word_hashes(raw.lower())
+        bounds = np.searchsorted(starts, ends).tolist()
+        whole, out = self._hashed(h, self.n), []
+        for at, to in zip(bounds, bounds[1:], strict=False):
+            few = to - at < self.n
+            found = np.sort(self._hashed(h[at:to], to - at) if few else whole[at : to - self.n + 1])
+            if len(found) > 1:
+                found = found[np.r_[True, found[1:] != found[:-1]]]
+            out.append(found)
+        return out
+
+    @staticmethod
+    def _hashed(h: np.ndarray, n: int) -> np.ndarray:
+        """The hash of ``n`` words from each place on."""
+        if not n or len(h) < n:
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.n, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
             out = mix(out ^ h[k : len(h) - n + 1 + k])
-        return np.unique(out)
+        return out
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The places and hashes of the words of ``raw``, which ends in white space; eight bytes are mixed in at a time."""
+    codes = np.frombuffer(raw + bytes(8), np.uint8)
+    inside = np.zeros(len(raw) + 1, bool)
+    inside[1:] = (codes[: len(raw)] - np.uint8(9) > 4) & (codes[: len(raw)] != 32)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    lanes = np.ndarray(len(raw) + 1, "<u8", codes, strides=(1,))
+    h = mix(mix(lengths.astype(np.uint64)) ^ (lanes[starts] & _FRONT[np.minimum(lengths, 8)]))
+    more = np.flatnonzero(lengths > 8)
+    for k in range(8, LONG_WORD, 8):
+        more = more[lengths[more] > k]
+        h[more] = mix(h[more] ^ (lanes[starts[more] + k] & _FRONT[np.minimum(lengths[more] - k, 8)]))
+    for k in more[lengths[more] > LONG_WORD].tolist():
+        h[k] = xxhash.xxh64_intdigest(raw[starts[k] : starts[k] + lengths[k]])
+    return starts, h
 
 
 def band_edges(percent: int, largest: int) -> list[int]:
@@ -115,18 +162,21 @@ class Signer:
             self.edges = band_edges(self.percent, 2 * size)
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
-    def _cut(self, items: np.ndarray, band: int, n: int):
-        """(mixed shingles by segment, their segments, sizes, contents) for ``n`` segments."""
+    def _cut(self, items: np.ndarray, band: int, n: int, row: np.ndarray | None = None):
+        """(mixed shingles by segment, their segments, sizes, contents) for ``n`` segments, of each set where ``row`` tells sets apart."""
         salt = np.uint64((band * 2 + 1) * int(_K[0]) % (1 << 64))
         mixed = mix(items ^ salt)
-        segment = (mixed >> np.uint64(24)) % np.uint64(n)
-        order = np.argsort(segment, kind="stable")
-        mixed, segment = mixed[order] * _K[1] + _K[2], segment[order].astype(np.int64)
-        sums = np.zeros(n, np.uint64)
+        segment = ((mixed >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
+        total = n
+        if row is not None:
+            segment, total = segment + row * n, n * (int(row[-1]) + 1)
+        order = np.argsort(segment.astype(np.uint16) if total <= 1 << 16 else segment, kind="stable")
+        mixed, segment = mixed[order] * _K[1] + _K[2], segment[order]
+        sums = np.zeros(total, np.uint64)
         first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
         sums[segment[first]] = np.add.reduceat(mixed, first)
         of = np.arange(n, dtype=np.uint64) * _K[2] + salt
-        return mixed, segment, np.bincount(segment, minlength=n), sums, mix(of)
+        return mixed, segment, np.bincount(segment, minlength=total), sums, mix(of)
 
     def __call__(self, items: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(band, signatures) in a set's own band and the next."""
@@ -144,6 +194,26 @@ class Signer:
             out.append((band, np.concatenate([whole[:d], exact, less]).view(np.int64)))
         return out
 
+    def all(self, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of sets, signatures) of many sets that aren't empty, those of a band at a time."""
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        own = np.fromiter(map(self.band, size.tolist()), np.int64, len(sets))
+        for band in np.unique(np.r_[own, own + 1]).tolist():
+            at = np.flatnonzero((own == band) | (own == band - 1))
+            d, e, spare = self.segments(band)
+            n, row = d + e, np.repeat(np.arange(len(at)), size[at])
+            mixed, segment, sizes, sums, of = self._cut(np.concatenate([sets[k] for k in at.tolist()]), band, n, row)
+            by_set = sums.reshape(-1, n)
+            whole = mix(by_set ^ of)
+            exact = whole[:, d:]
+            if spare:
+                exact = np.take_along_axis(exact, np.lexsort((exact, sizes.reshape(-1, n)[:, d:]))[:, spare:], 1)
+            yield np.repeat(at, d + exact.shape[1]), np.hstack([whole[:, :d], exact]).ravel().view(np.int64)
+            if d:
+                inside = segment % n < d
+                segment = segment[inside]
+                yield at[segment // n], mix((sums[segment] - mixed[inside]) ^ of[segment % n]).view(np.int64)
+
     def sketch(self, items: np.ndarray) -> tuple[int, bytes, bytes]:
         """A set's band, and a byte for each segment of it and of the next."""
         own = self.band(len(items))
@@ -192,10 +262,9 @@ def _sets(keyed: DataFrame, words: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             sizes, digests = [], []
-            for text in batch.column(1):
-                items = shingle(text.as_py())
-                sizes.append(len(items))
-                digests.append(xxhash.xxh128_digest(items.tobytes()))
+            for slice_sets in shingle.column(batch.column(1)):
+                sizes += map(len, slice_sets)
+                digests += map(xxhash.xxh128_digest, slice_sets)
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "n_shingles", "h1", "h2"])
 
@@ -216,31 +285,31 @@ def _signatures(texts: DataFrame, allocation: dict[int, float], words: int, perc
     """(sig, of, doc): for each signature of a chunk its least document, of being null, and where it has more, all of them, of being the least."""
 
     def grouped(sigs, docs):
-        sig, doc = np.concatenate(sigs), np.repeat(np.array([d for d, _ in docs], np.int64), [n for _, n in docs])
-        order = np.lexsort((doc, sig))
+        sig, doc = np.concatenate(sigs), np.concatenate(docs)
+        order = np.argsort(sig)
         sig, doc = sig[order], doc[order]
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        n = np.diff(np.r_[first, len(sig)])
+        n, head = np.diff(np.r_[first, len(sig)]), np.minimum.reduceat(doc, first)
         many = np.repeat(n > 1, n)
-        head = np.repeat(doc[first], n)[many]
-        of = pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(head)])
-        out = pa.RecordBatch.from_arrays([pa.array(np.r_[sig[first], sig[many]]), of, pa.array(np.r_[doc[first], doc[many]])], ["sig", "of", "doc"])
+        of = pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(np.repeat(head, n)[many])])
+        out = pa.RecordBatch.from_arrays([pa.array(np.r_[sig[first], sig[many]]), of, pa.array(np.r_[head, doc[many]])], ["sig", "of", "doc"])
         return [out.slice(k, OUT_ROWS) for k in range(0, out.num_rows, OUT_ROWS)]
 
     def run(batches):
         shingle, signer = Shingler(words), Signer(percent, lambda b: allocation.get(b, 0.0))
         sigs, docs, size = [], [], 0
-        for key, text in _pairs_of(batches):
-            items = shingle(text)
-            if not len(items):
-                continue
-            own = np.concatenate([s for _, s in signer(items)])
-            sigs.append(own)
-            docs.append((key, len(own)))
-            size += len(own)
-            if size >= chunk:
-                yield from grouped(sigs, docs)
-                sigs, docs, size = [], [], 0
+        for batch in batches:
+            keys, at = batch.column(0).to_numpy(), 0
+            for sets in shingle.column(batch.column(1), min(SLICE_BYTES, 8 * chunk)):
+                full = [k for k, items in enumerate(sets) if len(items)]
+                for place, own in signer.all([sets[k] for k in full]):
+                    sigs.append(own)
+                    docs.append(keys[at:][full][place])
+                    size += len(own)
+                at += len(sets)
+                if size >= chunk:
+                    yield from grouped(sigs, docs)
+                    sigs, docs, size = [], [], 0
         if size:
             yield from grouped(sigs, docs)
 
@@ -289,11 +358,8 @@ def _possible(pairs: DataFrame, keyed: DataFrame, words: int, percent: int) -> D
     def sketches(batches):
         shingle, signer = Shingler(words), Signer(percent)
         for batch in batches:
-            rows = []
-            for key, text in _pairs_of([batch]):
-                items = shingle(text)
-                if len(items):
-                    rows.append((key, len(items), *signer.sketch(items)))
+            found = (items for sets in shingle.column(batch.column(1)) for items in sets)
+            rows = [(key, len(items), *signer.sketch(items)) for key, items in zip(batch.column(0).to_pylist(), found, strict=True) if len(items)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "band", "low", "high"])

@@ -3,6 +3,8 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import common, components, jaccard_join
@@ -89,6 +91,29 @@ def test_linked_sets_share_a_signature():
                 assert abs(p - q) <= 1 and 190 * apart <= 10 * (len(a) + len(b))
 
 
+def test_a_column_is_shingled_and_signed_as_its_texts_are():
+    rnd = random.Random(6)
+    long = "x" * jaccard_join.LONG_WORD
+    texts = ["a b c", None, "", " \t\n", "one", "ONE", "É é\x0bÉ", "a  b\r\nc ", "ab c d", "a bc d", long, f"{long} {long}y {long}z", "w " * 500, "12345678 123456789", "12345678 12345678\0"]
+    texts += [" ".join(str(rnd.randrange(50)) for _ in range(rnd.randint(1, 300))) for _ in range(60)]
+    shingle, column = jaccard_join.Shingler(3), pa.array(["left out", *texts])[1:]
+    alone = [shingle(t) for t in texts]
+    assert [len(x) for x in alone] == [len(brute.shingles(t)) for t in texts]
+    known = [brute.shingles(t) for t in texts]
+    assert all((known[k] == known[m]) == np.array_equal(alone[k], alone[m]) for k in range(len(texts)) for m in range(k))
+    for size in (1, 700, 1 << 20):
+        assert all(np.array_equal(x, y) for x, y in zip([x for part in shingle.column(column, size) for x in part], alone, strict=True))
+    sets = [x for x in alone if len(x)]
+    for share in (0.0, 0.5, 1.0):
+        signer = jaccard_join.Signer(90, lambda _, s=share: s)
+        got = [[] for _ in sets]
+        for place, sigs in signer.all(sets):
+            for k, x in zip(place.tolist(), sigs.tolist(), strict=True):
+                got[k].append(x)
+        assert [sorted(x) for x in got] == [sorted(s for _, sigs in signer(items) for s in sigs.tolist()) for items in sets]
+    assert list(shingle.column(column[:0])) == [] and list(signer.all([])) == []
+
+
 def test_components(spark):
     rnd = random.Random(7)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(140)] + [(k, k + 1) for k in range(300, 340)] + [(None, 3)]
