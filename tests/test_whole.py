@@ -92,6 +92,23 @@ def test_pairs_are_made_by_blocks_and_stand_once(spark, monkeypatch):
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
+def test_pairs_are_taken_apart_in_the_jvm_a_slice_at_a_time(spark, monkeypatch):
+    """No Python, no pairs shuffled or told apart afterwards; slices that don't divide the blocks lose nothing, nor do null ids."""
+    monkeypatch.setattr(entities, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(entities, "LEFT_SLICE", 3)
+    monkeypatch.setattr(entities, "RIGHT_SLICE", 2)
+    a = [(k, "goat wall river") for k in range(23)] + [(None, "goat wall river"), (None, "oak"), (7, "river goat wall"), (8, "oak")]
+    b = [(k, "river wall goat") for k in range(17)] + [(None, "goat wall river"), (3, "oak"), (3, "goat wall river")]
+    left, right = (spark.createDataFrame(x, "row_id long, name string") for x in (a, b))
+    found = entities.resolve(left, right)
+    want = {(x, y, k) for x, n in a for y, m in b for k in kinds(normal(n), normal(m))}
+    got = found.collect()
+    assert sorted(((r.left_row, r.right_row, r.match_type) for r in got), key=str) == sorted(want, key=str)
+    assert {(r.match_type, r.confidence) for r in got} == set(entities.CONFIDENCE.items())
+    for made in (found, entities.equal_names(left, right, "bag", "fuzzy"), entities.shared_words(left, right)):
+        plan = plan_of(made)
+        assert "MapInArrow" not in plan and plan.index("Generate explode(right_rows") < plan.index("Generate explode(transform") < plan.index("Exchange")
+
 
 def test_sentences_are_scored_where_their_text_is_read(spark):
     """No shuffle; exact fractions tell which sentences are best, the earlier of equal ones."""
