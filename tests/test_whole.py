@@ -1,5 +1,6 @@
 """Queries do the whole of their job: each is held against brute force over all rows."""
 
+import math
 import re
 from collections import Counter
 from fractions import Fraction
@@ -154,3 +155,22 @@ def test_vectors_of_any_length_are_compared_by_blocks(spark, monkeypatch):
                 want.append((a, b, round(float(np.mean(both)), 5) if both else None))
     found = [(r.a, r.b, r.similarity) for r in hrr.similarities(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding").collect()]
     assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_averages_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Averages that end in a 5 at the seventh place, over many files, are rounded up; no p and no name stand last, NaN after numbers."""
+    rng = np.random.default_rng(5)
+    cents = {(k // 20, k % 20): [int(x) for x in rng.integers(0, 11, 32)] for k in range(400)}
+    for c in cents.values():
+        c[0] += (1 - sum(c)) % 2
+    rows = [(d, r, x / 100) for (d, r), c in cents.items() for x in c] + [(0, None, 0.5), (0, 20 + 21, None), (50, 1, None), (50, 2, float("nan")), (50, 3, 2.5e-6), (50, 4, -2.5e-6), (50, 5, None), (50, 5, 1e11)]
+    order = rng.permutation(len(rows))
+    frame = spark.createDataFrame([rows[k] for k in order], "l_suppkey long, l_partkey long, l_discount double")
+    frame.repartition(16).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {k: math.floor(Fraction(sum(c) * 10**4, 32) + Fraction(1, 2)) / 1e6 for k, c in cents.items()}
+    found = {(r.donor, r.recipient): r for r in registry.QUERIES["p_value_order"](spark, str(tmp_path)).collect()}
+    assert {k: found[k].p for k in want} == want
+    ranked = sorted((k for k in want if k[0] == 0), key=lambda k: (want[k], k[1]))
+    assert [found[k].place for k in ranked] == list(range(1, 21)) and found[0, None].place == 21
+    assert [k[1] for k in sorted((k for k in found if k[0] == 50), key=lambda k: found[k].place)] == [4, 3, 5, 2, 1]
+    assert [found[50, k].p for k in (4, 3, 5, 1)] == [-3e-6, 3e-6, 1e11, None]
