@@ -174,3 +174,18 @@ def test_averages_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     assert [found[k].place for k in ranked] == list(range(1, 21)) and found[0, None].place == 21
     assert [k[1] for k in sorted((k for k in found if k[0] == 50), key=lambda k: found[k].place)] == [4, 3, 5, 2, 1]
     assert [found[50, k].p for k in (4, 3, 5, 1)] == [-3e-6, 3e-6, 1e11, None]
+
+
+@pytest.mark.parametrize("kind", ["exact", "fuzzy"])
+def test_pairs_of_one_tier_keep_equal_rows_over_slices(spark, monkeypatch, kind):
+    """Blocks of four in slices of three and two, taken apart in the JVM: a plain join, equal rows and null ids included."""
+    for name, size in (("BLOCK_ROWS", 4), ("LEFT_SLICE", 3), ("RIGHT_SLICE", 2), ("TASK_PAIRS", 100)):
+        monkeypatch.setattr(entities, name, size)
+    names = ["goat wall river", "river goat wall", "oak", "goat wall lake stone"]
+    a = [(k % 13, names[k % 3]) for k in range(30)] + [(None, "oak"), (None, "oak")]
+    b = [(k % 7, names[k % 4]) for k in range(25)] + [(None, names[0])]
+    left, right = (spark.createDataFrame(x, "row_id long, name string") for x in (a, b))
+    made = entities.shared_words(left, right) if kind == "token_overlap" else entities.equal_names(left, right, {"exact": "norm", "fuzzy": "bag"}[kind], kind)
+    want = [(x, y, kind) for x, n in a for y, m in b if kind in kinds(normal(n), normal(m))]
+    assert sorted(((r.left_row, r.right_row, r.match_type) for r in made.collect()), key=str) == sorted(want, key=str)
+    assert "MapInArrow" not in plan_of(made)
