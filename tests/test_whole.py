@@ -176,7 +176,7 @@ def test_averages_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     assert [found[50, k].p for k in (4, 3, 5, 1)] == [-3e-6, 3e-6, 1e11, None]
 
 
-@pytest.mark.parametrize("kind", ["exact", "fuzzy"])
+@pytest.mark.parametrize("kind", ["exact", "fuzzy", "token_overlap"])
 def test_pairs_of_one_tier_keep_equal_rows_over_slices(spark, monkeypatch, kind):
     """Blocks of four in slices of three and two, taken apart in the JVM: a plain join, equal rows and null ids included."""
     for name, size in (("BLOCK_ROWS", 4), ("LEFT_SLICE", 3), ("RIGHT_SLICE", 2), ("TASK_PAIRS", 100)):
